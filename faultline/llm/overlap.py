@@ -117,7 +117,9 @@ def near_classes(members: DataFrame, most: float = 0.1) -> DataFrame:
     """
     if not 0 <= most <= 0.1:
         raise ValueError("the pieces find differences of at most 0.1")
-    train, eval_ = (members.where(F.col("side") == s).select("cls", "chars").distinct() for s in ("train", "eval"))
+    # every text once, whatever number of rows it has on either side
+    texts = materialize(members.groupBy("cls", "chars").agg(F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "eval").alias("in_eval")))
+    train, eval_ = texts.where("in_train").select("cls", "chars"), texts.where("in_eval").select("cls", "chars")
     cut = train.mapInArrow(_pieces(N), "cls long, gram long, at int, words int, pieces int")
     slid = eval_.mapInArrow(_pieces(1), "cls long, gram long, at int")
     # how often a piece occurs in evaluation; pieces that don't occur end here
