@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from faultline.plans import keys
+from faultline.plans import code, keys
 
-MODULES = (keys,)
+MODULES = (code, keys)
 
 
 def queries() -> dict:
