@@ -167,7 +167,8 @@ def _parts(df: DataFrame, text: str, path: str) -> tuple[DataFrame, DataFrame]:
     found = F.transform(words(F.col(text)), as_bytes)
     rows = df.withColumn("_words", found).withColumn("_hit", _let(_table(path), lambda t: F.transform(F.col("_words"), lambda w: _rank(t, w))))
     missing = F.filter(F.transform("_words", lambda w, i: F.when(F.get(F.col("_hit"), i).isNull(), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
-    places = rows.select("_k1", "_k2", F.explode(missing).alias("m")).select("_k1", "_k2", "m.at", "m.word")
+    # the outer form: for the other, Spark infers a filter that looks all words up a second time
+    places = rows.select("_k1", "_k2", F.explode_outer(missing).alias("m")).where("m is not null").select("_k1", "_k2", "m.at", "m.word")
     return rows.drop("_words"), places
 
 
