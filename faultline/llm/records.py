@@ -86,7 +86,7 @@ def canonical(text: Column) -> Column:
 
 def with_tree(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``_tree`` (the normalised tree) and ``_root`` (its digest); rows without a letter or digit are left out."""
-    return df.withColumn("_tree", canonical(F.col(text))).where("_tree <> ''").withColumn("_root", F.unhex(F.sha2("_tree", 256)))
+    return df.where(F.col(text).rlike("[A-Za-z0-9]")).withColumn("_tree", canonical(F.col(text))).withColumn("_root", F.unhex(F.sha2("_tree", 256)))
 
 
 def copy_groups(df: DataFrame, row_id: str, text: str) -> DataFrame:
