@@ -17,6 +17,7 @@ from hashlib import sha256
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _JUNK = re.compile(r"[^A-Za-z0-9]+")
 _OPEN = re.compile(r"\{[^A-Za-z0-9{}();,=]*\.[^A-Za-z0-9{}();,=]*[A-Za-z_]\w*[^A-Za-z0-9{}();,=.\"]*=(?!=)")
@@ -73,7 +74,7 @@ def canonical_text(text: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
     return texts.map(canonical_text, na_action="ignore")
 
