@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from faultline.plans import code, keys
+from faultline.plans import code, keys, scores
 
-MODULES = (code, keys)
+MODULES = (code, keys, scores)
 
 
 def queries() -> dict:
