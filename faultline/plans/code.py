@@ -206,5 +206,7 @@ ORACLES = {
     "q_graph_nodes": _STMT + f"""SELECT row_id, 1 AS node_id, 'METHOD' AS type, {_CUT(f"concat({_FN}, '()')")} AS code FROM c UNION ALL SELECT row_id, (k + 1)::INTEGER, 'PARAM', concat('param_', k) FROM pa
   UNION ALL SELECT row_id, id, type, {_CUT('line')} FROM st UNION ALL SELECT row_id, (id + k)::INTEGER, 'CALL', {_CUT("concat(callee, '(...)')")} FROM cl""",
     "q_graph_edges": _EDGES + "SELECT * FROM e",
+    "q_ast_sequence": _STMT + f""", a AS (SELECT row_id, string_agg(concat(' ( ', type, repeat(' ( CALL ) CALL', len(lcalls)), ' ) ', type), '' ORDER BY i) AS body FROM st GROUP BY row_id)
+SELECT row_id, array_to_string(string_split(concat('( METHOD', repeat(' ( PARAM ) PARAM', ({_SP})::BIGINT), coalesce(body, ''), ' ) METHOD'), ' ')[1:512], ' ') AS ast_sequence FROM c LEFT JOIN a USING (row_id)""",
     "q_edge_type_hist": _EDGES + "SELECT type, count(*) AS n_edges, count(DISTINCT row_id) AS n_functions FROM e GROUP BY type",
 }
