@@ -110,7 +110,7 @@ def _deal_head(head: list, targets: list[tuple[str, float]], total: float, posit
                 n, p = rows[other] + (unit.n if other == name else 0), ones[other] + (unit.p if other == name else 0)
                 # what lies beyond a split's share can't be mended later, what is missing can; small splits count as much as large ones
                 out += max(0.0, n - share * total) / max(share * total, 1.0) * 10 + ((n / max(share * total, 1.0) - 1) ** 2) * share
-                out += 0.5 * (((p - positives / max(total, 1.0) * n) / max(share * positives, 1.0)) ** 2) * share
+                out += 4.0 * (((p - positives / max(total, 1.0) * n) / max(share * positives, 1.0)) ** 2) * share
             return out
 
         best = min((name for name, _ in targets), key=lambda name: (cost(name), name))
