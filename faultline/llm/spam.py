@@ -40,8 +40,15 @@ _PLAIN = r"^[\p{L}\p{M}\p{N} \t._'’-]*[\p{L}\p{M}\p{N}]$"
 _LONG_HAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{6}"
 #: Words that make a short piece of text part of a sentence rather than a keyword.
 _FUNCTION = r"(?iu)(?<![\p{L}])(the|a|an|of|in|on|at|to|is|are|was|be|if|when|not|before|after|without|der|die|das|ein|eine|im|dem|den|le|la|les|un|une|dans|el|los|una|en)(?![\p{L}])"
-#: Text whose UTF-8 bytes were read as single characters: its words can't be told.
-_GARBLED = r"(?iu)[ÂÃÐÑÒØÙâãäåæçèéïð][^\x00-\x7f]"
+#: Signs that stand for the bytes 0x80 to 0x9f in Windows-1252, and what they are in Latin-1; a byte lost to the replacement sign reads as 0x9d.
+_SIGNS = {sign: chr(b) for b in range(0x80, 0xA0) if (sign := bytes([b]).decode("cp1252", "ignore"))} | {"\ufffd": "\x9d"}
+_LOW = "".join(_SIGNS) + r"\x{80}-\x{9f}"
+_TAIL = rf"[{_LOW}\x{{a0}}-\x{{bf}}]"
+#: UTF-8 bytes read as single characters: whole sequences of two, three and four, with the first bytes of Latin, Greek, Cyrillic, Hebrew and Arabic letters, of all three-byte letters and of emoji; behind A-Z, a letter and a closing quote are taken as such.
+_DAMAGED = (
+    rf"(?:[Â-Å]{_TAIL}|(?<![A-Z])[Î-ÓÖ-Û]{_TAIL}|à[\x{{a0}}-\x{{bf}}]{_TAIL}|[á-ìîï]{_TAIL}{_TAIL}|í[{_LOW}]{_TAIL}"
+    rf"|ð[‘’“”•–—˜™š›œžŸ\x{{90}}-\x{{9f}}\ufffd\x{{a0}}-\x{{bf}}]{_TAIL}{_TAIL})++"
+)
 #: Signs that pages may hold escaped.
 _ENTITIES = (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 #: Words of a keyword, at most.
@@ -66,27 +73,39 @@ def _top_share(words: Column) -> Column:
     return F.get(F.transform(F.array(ordered), of), 0)
 
 
+def repaired(text: Column) -> Column:
+    """``text`` with UTF-8 that was read as Windows-1252 or Latin-1, once or twice, turned back where its bytes decode; all else stays."""
+    bytes_ = lambda s: F.encode(F.translate(s, "".join(_SIGNS), "".join(_SIGNS.values())), "ISO-8859-1")
+
+    def once(t: Column) -> Column:
+        letters = F.transform(F.regexp_extract_all(t, F.lit(_DAMAGED), F.lit(0)), lambda s: F.decode(bytes_(s), "UTF-8"))
+        return F.array_join(F.zip_with(F.split(t, _DAMAGED), letters, lambda kept, s: F.concat(kept, F.coalesce(s, F.lit("")))), "")
+
+    # a quick look first, as hardly any text is damaged
+    return F.when(text.rlike(rf"[Â-ÅÎ-ÓÖ-Ûà-ð]{_TAIL}"), F.get(F.transform(F.array(once(text)), once), 0)).otherwise(text)
+
+
 def _words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_WORD))
 
 
 def page_features(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``n_words``, ``_hosts`` (hosts linked to) and the columns :data:`FEATURES`; texts without a word are left out."""
-    clean = F.translate(F.col(text), "\u00a0\u200b\ufeff\u00ad", " ")
+    clean = F.translate(F.col("_t"), "\u00a0\u200b\ufeff\u00ad", " ")
     for name, sign in _ENTITIES:
         clean = F.replace(clean, F.lit(name), F.lit(sign))
-    rows = spread(df).withColumn("_t", clean)
+    rows = spread(df).withColumn("_t", repaired(F.col(text))).withColumn("_t", clean)
     rows = rows.withColumn("n_words", _words(F.col("_t"))).where("n_words > 0")
     n = F.col("n_words")
     links = F.regexp_extract_all("_t", F.lit(_LINK), F.lit(0))
     rows = rows.withColumn("_links", links).withColumn("_rest", F.regexp_replace("_t", _LINK, "\n"))
     rows = rows.withColumn("_tags", F.regexp_extract_all("_rest", F.lit(_TAG), F.lit(0))).withColumn("_rest", F.regexp_replace("_rest", _TAG, "\n"))
     rows = rows.withColumn("_table", F.regexp_extract_all("_rest", F.lit(_TABLE), F.lit(0))).withColumn("_rest", F.regexp_replace("_rest", _TABLE, ""))
-    unit = F.filter(F.transform(F.split("_rest", _BREAK), lambda u: F.trim(u)), lambda u: u.rlike(_PLAIN) & ~u.rlike(_GARBLED))
+    unit = F.filter(F.transform(F.split("_rest", _BREAK), lambda u: F.trim(u)), lambda u: u.rlike(_PLAIN))
     rows = rows.withColumn("_units", F.transform(unit, lambda u: F.struct(u.alias("u"), _words(u).alias("k"))))
     short = F.filter("_units", lambda u: (u["k"] <= SHORT) & ~u["u"].rlike(_LONG_HAN) & ~u["u"].rlike(_FUNCTION))
     rows = rows.withColumn("_short", short)
-    lines = F.filter(F.split(F.lower("_rest"), r"[\n\r\u0085\u2028\u2029]+"), lambda p: ~p.rlike(_GARBLED))
+    lines = F.split(F.lower("_rest"), r"[\n\r\u0085\u2028\u2029]+")
     paragraphs = F.filter(F.transform(lines, lambda p: F.regexp_extract_all(p, F.lit(_WORD), F.lit(0))), lambda w: F.size(w) >= 15)
     rows = rows.withColumn("_repeats", F.filter(paragraphs, lambda w: (F.size(F.array_distinct(w)) * 2 <= F.size(w)) & (_top_share(w) >= 0.8)))
     total = lambda units: F.aggregate(units, F.lit(0), lambda a, u: a + u["k"])

@@ -141,3 +141,16 @@ def test_spam(spark):
     found = {r.doc_id for r in spam.spam_pages(df, "doc_id", "text").where("score >= 0.5 and run_share > 0.5").collect()}
     assert found == {i for i, _ in rows if 100 <= i < 400}
     assert spam.spam_pages(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_spam_in_damaged_encoding(spark):
+    keywords = {0: "купить дешёвый ноутбук, ", 1: "günstige Prüfgeräte kaufen | ", 2: "安い 無料 監査, ", 3: "promoções grátis nação, ", 4: "vé rẻ hà nội đặt sớm, "}
+    rows = [(i, text * 30) for i, text in keywords.items()]
+    rows += [(10 + i, t.encode().decode("cp1252", "replace")) for i, t in rows] + [(20 + i, t.encode().decode("latin-1")) for i, t in rows] + [(30 + i, t.encode().decode("latin-1").encode().decode("latin-1")) for i, t in rows]
+    prose = "Der Prüfer bestätigt den Absturz auf dem Fehlerpfad, denn die Summe läuft über. Unser Testlauf fände ein Leck, sobald zwei Fäden gleichzeitig über die Größe schreiben."
+    rows += [(50, prose), (51, prose.encode().decode("cp1252", "replace")), (52, "«Spaß“ – l'été… ação, PERÚ”")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    share = {r.doc_id: r.run_share for r in spam.page_features(df, "text").collect()}
+    assert {i for i, s in share.items() if s > 0.9} == {i for i, _ in rows if i < 50} and share[50] == share[51] <= 0.5
+    back = {r.doc_id: r.t for r in df.select("doc_id", spam.repaired(F.col("text")).alias("t")).collect()}
+    assert all(back[20 + i] == back[30 + i] == back[i] == t for i, t in rows if i < 5) and back[51] == prose and back[52] == rows[-1][1]
