@@ -35,11 +35,23 @@ _LINK = (
 #: A product tag: a kind, a number and what follows up to the next separator; a kind and a value; or a hash tag.
 _TAG = r"(?<![\p{L}\p{N}_.])(?:\p{L}{2,8}:\p{L}?\d{4,}+(?:[ \t]++[^\s;|,]++){1,9}|\p{L}{2,8}[:=][\p{L}\p{M}\p{N}_-]++(?=[\s;,|]|$)|#\p{L}[\p{L}\p{M}\p{N}_]*+)"
 _TABLE = r"(?m)^[ \t]*+\|.*$"
-_BREAK = r"[\n\r\u2028\u2029\u0085|;,•·>]++|\s[-*/]++\s|\. |。"
+_LINE = r"[\n\r\u0085\u2028\u2029]+"
+_BREAK = r"[|;,•·>]++|\s[-*/]++(?:\s|$)|\. |。"
 _PLAIN = r"^[\p{L}\p{M}\p{N} \t._'’-]*[\p{L}\p{M}\p{N}]$"
 _LONG_HAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{6}"
 #: Words that make a short piece of text part of a sentence rather than a keyword.
 _FUNCTION = r"(?iu)(?<![\p{L}])(the|a|an|of|in|on|at|to|is|are|was|be|if|when|not|before|after|without|der|die|das|ein|eine|im|dem|den|le|la|les|un|une|dans|el|los|una|en)(?![\p{L}])"
+#: More words of sentences, in more languages, that a piece of more words than a keyword is told by.
+_SENTENCE = (
+    r"(?iu)(?<![\p{L}])(and|or|but|that|this|these|it|its|i|we|you|they|has|have|had|were|been|can|could|should|would|will|may|must|do|does|did|by|from|as|than|then|so|which|who"
+    r"|und|oder|aber|nicht|ist|sind|war|wird|mit|von|für|auf|bei|zu|zum|zur|des|ich|wir|sie|es|er|dass|wenn|als|et|ou|mais|que|qui|est|sont|du|de|à|au|aux|pour|par|sur|avec|pas|il|elle|nous|ce|cette"
+    r"|y|o|pero|son|del|al|por|para|con|se|no|lo|su|e|em|não|um|uma|do|da|dos|das|os|as|ao|и|в|во|на|не|но|что|как|с|со|к|по|из|за|от|о|об|у|а|при|если|или|так|хотя|потому|когда|после|он|она|они|мы|это"
+    r"|gli|di|che|è|per|non|w|z|się|nie|że|jest|het|een|van|niet|och|att|som|är|ve|bir|bu|và|của|là|không)(?![\p{L}])"
+)
+#: A line that holds the end of a sentence.
+_ENDED = r"[.!?。！？…](?:[\s\"'»”)]|$)"
+#: A piece that stands so often on a page, in whatever order of its words, is repeated.
+REPEATS = 3
 #: Signs that stand for the bytes 0x80 to 0x9f in Windows-1252, and what they are in Latin-1; a byte lost to the replacement sign reads as 0x9d.
 _SIGNS = {sign: chr(b) for b in range(0x80, 0xA0) if (sign := bytes([b]).decode("cp1252", "ignore"))} | {"\ufffd": "\x9d"}
 _LOW = "".join(_SIGNS) + r"\x{80}-\x{9f}"
@@ -58,7 +70,7 @@ SOUP = 40
 #: So many words of a paragraph's vocabulary make up most of it if it repeats keywords.
 TOP = 12
 
-FEATURES = ("run_share", "link_share", "tag_share", "short_share", "soup_share", "repeat_share", "sentences", "code_signs", "digit_share", "table_share", "han_share", "log_words", "words_a_line")
+FEATURES = ("run_share", "link_share", "tag_share", "keyword_share", "short_share", "soup_share", "repeat_share", "sentences", "code_signs", "digit_share", "table_share", "han_share", "log_words", "words_a_line")
 
 
 def _top_share(words: Column) -> Column:
@@ -89,6 +101,29 @@ def _words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_WORD))
 
 
+def _line(line: Column) -> Column:
+    """A line's words ``k``, whether it repeats its own words (``again``) and its plain pieces ``units``.
+
+    A piece has its words ``k`` and the ``kind`` of run it is: ``short``, ``soup``, ``mid`` (words without a
+    sentence's structure) or none; if none, its ``key`` is its words in order, where the line is no sentence.
+    """
+    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(_WORD), F.lit(0))
+    repeats = lambda w: (F.size(w) >= 15) & (F.size(F.array_distinct(w)) * 2 <= F.size(w)) & (_top_share(w) >= 0.8)
+
+    def piece(u: Column, ended: Column) -> Column:
+        k = _words(u)
+        keyword = ~u.rlike(_LONG_HAN) & ~u.rlike(_FUNCTION)
+        # short pieces of a line without a sentence's end need no look at more words
+        kind = F.when(k >= SOUP, "soup").when((k <= SHORT) & keyword & ~(ended & u.rlike(_SENTENCE)), "short").when((k > SHORT) & ~ended & keyword & ~u.rlike(_SENTENCE), "mid").otherwise("")
+        made = F.transform(F.array(F.struct(k.alias("k"), kind.alias("kind"))), lambda s: s.withField("key", F.when((s["kind"] == "") & (s["k"] >= 2) & ~ended, F.array_join(F.array_sort(words(u)), " "))))
+        return F.get(made, 0)
+
+    plain = F.filter(F.transform(F.split(line, _BREAK), lambda u: F.trim(u)), lambda u: u.rlike(_PLAIN))
+    again = F.get(F.transform(F.array(words(line)), lambda w: F.struct(F.size(w).alias("k"), repeats(w).alias("again"))), 0)
+    units = F.get(F.transform(F.array(line.rlike(_ENDED)), lambda ended: F.transform(plain, lambda u: piece(u, ended))), 0)
+    return F.get(F.transform(F.array(again), lambda s: F.struct(s["k"].alias("k"), s["again"].alias("again"), units.alias("units"))), 0)
+
+
 def page_features(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``n_words``, ``_hosts`` (hosts linked to) and the columns :data:`FEATURES`; texts without a word are left out."""
     clean = F.translate(F.col("_t"), "\u00a0\u200b\ufeff\u00ad", " ")
@@ -101,23 +136,32 @@ def page_features(df: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("_links", links).withColumn("_rest", F.regexp_replace("_t", _LINK, "\n"))
     rows = rows.withColumn("_tags", F.regexp_extract_all("_rest", F.lit(_TAG), F.lit(0))).withColumn("_rest", F.regexp_replace("_rest", _TAG, "\n"))
     rows = rows.withColumn("_table", F.regexp_extract_all("_rest", F.lit(_TABLE), F.lit(0))).withColumn("_rest", F.regexp_replace("_rest", _TABLE, ""))
-    unit = F.filter(F.transform(F.split("_rest", _BREAK), lambda u: F.trim(u)), lambda u: u.rlike(_PLAIN))
-    rows = rows.withColumn("_units", F.transform(unit, lambda u: F.struct(u.alias("u"), _words(u).alias("k"))))
-    short = F.filter("_units", lambda u: (u["k"] <= SHORT) & ~u["u"].rlike(_LONG_HAN) & ~u["u"].rlike(_FUNCTION))
-    rows = rows.withColumn("_short", short)
-    lines = F.split(F.lower("_rest"), r"[\n\r\u0085\u2028\u2029]+")
-    paragraphs = F.filter(F.transform(lines, lambda p: F.regexp_extract_all(p, F.lit(_WORD), F.lit(0))), lambda w: F.size(w) >= 15)
-    rows = rows.withColumn("_repeats", F.filter(paragraphs, lambda w: (F.size(F.array_distinct(w)) * 2 <= F.size(w)) & (_top_share(w) >= 0.8)))
+    rows = rows.withColumn("_lines", F.transform(F.filter(F.split("_rest", _LINE), lambda p: p.rlike(_WORD)), _line))
+    # pieces that are no run by themselves are if they are repeated
+    keys = F.array_sort(F.filter(F.flatten(F.transform("_lines", lambda p: p["units"]["key"])), lambda key: key.isNotNull()))
+    rows = rows.withColumn("_keys", keys).withColumn("_often", F.array_distinct(F.filter("_keys", lambda key, i: F.coalesce(key == F.get("_keys", i + REPEATS - 1), F.lit(False)))))
+    marked = lambda u: (u["kind"] != "") | F.coalesce(F.array_contains("_often", u["key"]), F.lit(False))
+    rows = rows.withColumn("_units", F.flatten(F.transform("_lines", lambda p: F.filter(p["units"], marked))))
+    # words of repeated lines count as such, all others by their piece, so each counts once
+    rows = rows.withColumn("_others", F.flatten(F.transform(F.filter("_lines", lambda p: ~p["again"]), lambda p: F.filter(p["units"], marked))))
+    again = F.filter("_lines", lambda p: p["again"])
+    rows = rows.withColumn("_again", F.aggregate(again, F.lit(0), lambda a, p: a + p["k"]))
+    of = lambda kind: F.filter("_units", lambda u: u["kind"] == kind)
     total = lambda units: F.aggregate(units, F.lit(0), lambda a, u: a + u["k"])
+    # one piece, link or tag or two don't make a list, but where they make up most of the page
+    link, tag, others = _words(F.array_join("_links", " ")), _words(F.array_join("_tags", " ")), total(F.col("_others"))
+    rows = rows.withColumns({"_link_words": link, "_tag_words": tag, "_other_words": others, "_pieces": F.size("_links") + F.size("_tags") + F.size("_others")})
+    most = (F.col("_link_words") + F.col("_tag_words") + F.col("_other_words") + F.col("_again")) * 2 > n
+    rows = rows.withColumn("_most", most & (F.col("_pieces") + F.when(F.col("_again") > 0, 2).otherwise(0) >= 2))
     share = lambda part: part / n
     rows = rows.withColumns(
         {
-            # one link or two don't make a list
-            "link_share": F.when(F.size("_links") >= 4, share(_words(F.array_join("_links", " ")))).otherwise(0.0),
-            "tag_share": F.when(F.size("_tags") >= 4, share(_words(F.array_join("_tags", " ")))).otherwise(0.0),
-            "short_share": F.when(F.size("_short") >= 8, share(total(F.col("_short")))).otherwise(0.0),
-            "soup_share": share(total(F.filter("_units", lambda u: u["k"] >= SOUP))),
-            "repeat_share": share(F.aggregate("_repeats", F.lit(0), lambda a, w: a + F.size(w))),
+            "link_share": F.when(F.col("_most") | (F.size("_links") >= 4), share(F.col("_link_words"))).otherwise(0.0),
+            "tag_share": F.when(F.col("_most") | (F.size("_tags") >= 4), share(F.col("_tag_words"))).otherwise(0.0),
+            "keyword_share": share(F.col("_again") + F.when(F.col("_most") | (F.size("_units") >= 8), F.col("_other_words")).otherwise(total(F.filter("_others", lambda u: u["kind"] == "soup")))),
+            "short_share": F.when(F.size(of("short")) >= 8, share(total(of("short")))).otherwise(0.0),
+            "soup_share": share(total(of("soup"))),
+            "repeat_share": share(F.col("_again")),
             "sentences": share(F.regexp_count("_t", F.lit(r"[.!?。](?:\s|$)|。"))),
             "code_signs": share(F.regexp_count("_t", F.lit(r"[{}()\[\]=<>&*;]"))),
             "digit_share": share(F.regexp_count("_t", F.lit(r"\p{N}++"))),
@@ -130,12 +174,12 @@ def page_features(df: DataFrame, text: str) -> DataFrame:
     host = F.regexp_extract_all(F.lower("_t"), F.lit(rf"(?<![\p{{L}}\p{{M}}\p{{N}}.-]){_HOST}(?=/|:\d|\s|$)"), F.lit(0))
     # an address's host by its last two labels, so that its subdomains count together
     hosts = F.array_distinct(F.transform(F.when(F.size("_links") > 0, host).otherwise(F.array().cast("array<string>")), lambda h: F.call_function("substring_index", h, F.lit("."), F.lit(-2))))
-    return rows.withColumn("_hosts", hosts).drop("_t", "_links", "_rest", "_tags", "_table", "_units", "_short", "_repeats").withColumn("run_share", F.round(run_share(), 6))
+    return rows.withColumn("_hosts", hosts).drop("_t", "_links", "_rest", "_tags", "_table", "_lines", "_keys", "_often", "_units", "_others", "_again", "_link_words", "_tag_words", "_other_words", "_pieces", "_most").withColumn("run_share", F.round(run_share(), 6))
 
 
 def run_share() -> Column:
-    """The share of words in lists of links, product tags and runs of keywords; the kinds of runs share words, so the largest counts."""
-    return F.col("link_share") + F.col("tag_share") + F.greatest("short_share", "repeat_share", "soup_share")
+    """The share of words in lists of links, product tags and runs of keywords, each word once."""
+    return F.col("link_share") + F.col("tag_share") + F.col("keyword_share")
 
 
 def weak_label() -> Column:

@@ -154,3 +154,23 @@ def test_spam_in_damaged_encoding(spark):
     assert {i for i, s in share.items() if s > 0.9} == {i for i, _ in rows if i < 50} and share[50] == share[51] <= 0.5
     back = {r.doc_id: r.t for r in df.select("doc_id", spam.repaired(F.col("text")).alias("t")).collect()}
     assert all(back[20 + i] == back[30 + i] == back[i] == t for i, t in rows if i < 5) and back[51] == prose and back[52] == rows[-1][1]
+
+
+def test_spam_of_longer_pieces_and_mixed_runs(spark):
+    names = [a + b for a in ("lap", "desk", "mug", "cam", "sof", "phon") for b in ("ora", "ino", "eta", "uli", "axa", "oby", "ick")]
+    prose = "The reviewer asked whether the pointer may be null when the queue is empty, and nobody answered. I read the loop line by line and still can't see how it could overrun the buffer. "
+    rows = [
+        (1, "cheap fast online price audit tool\n" * 60),
+        (2, "\n".join(" ".join(names[(i * 5 + k * (i + 1)) % 42] for k in range(9)) for i in range(40))),
+        (3, "official cheap policy backup lumi-vox\n" * 40),
+        (4, "best price of the audit tool today\n" * 20),
+        (5, prose * 2 + "\n" + "cheap laptop | fast mug, " * 11 + "\n" + " ".join(names)),
+        (6, "[cheap laptop](https://a.example/x)\n[fast mug](https://b.example/y)\n[new hosting](https://c.example/z)"),
+        (11, prose * 5),
+        (12, "\n".join(f"The {w} asked whether the pointer may be null when the queue is empty" for w in names)),
+        (13, "9" * 3000),
+        (14, "\n".join(f"Читатель {w} сообщает о переполнении в функции, так как сумма велика" for w in names)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    share = {r.doc_id: r.run_share for r in spam.page_features(df, "text").collect()}
+    assert all(share[i] > 0.5 for i in range(1, 7)) and all(share[i] <= 0.5 for i in range(11, 15)) and max(share.values()) <= 1
