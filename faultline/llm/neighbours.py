@@ -225,18 +225,19 @@ def nearest(df: DataFrame, record_id: str, vector: str, dims: int = 64, k: int =
     rows = usable(df, record_id, vector, dims).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
     groups = rows.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     many = materialize(groups.where("n > 1"))
-    copies = many.count()
-    total = rows.count()
+    copies, repeated = many.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total = rows.count() - repeated + copies  # different vectors: what is sampled, indexed and searched
+    if not total:
+        return spark.createDataFrame([], "id string, neighbour string, cosine float, rank int")
     reps = rows
     if copies:
         known = broadcast_if_small(many, copies)
         reps = rows.join(known, ["k1", "k2"], "left").where("first is null or id = first").drop("first", "n").dropDuplicates(["id", "k1", "k2"])
     want = min(MAX_SAMPLE, max(16_384, 32 * int(2 * math.sqrt(total))))
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < int(min(1.0, want / max(total, 1)) * (1 << 30))
+    chance = F.pmod(F.xxhash64(F.lit("sample"), "id", "k1"), F.lit(1 << 30)) < int(min(1.0, want / total) * (1 << 30))
     sample = reps.where(chance).select("v").toArrow().column("v").combine_chunks()
-    empty = spark.createDataFrame([], "id string, neighbour string, cosine float, rank int")
-    if not len(sample):  # a collection that is not empty leaves a sample of all or of thousands
-        return empty
+    if len(sample) * 2 < min(want, total):  # can't happen but for a poor hash; an index of a handful finds little
+        sample = reps.select("v").limit(want).toArrow().column("v").combine_chunks()
     x = _unit(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
     index = spark.sparkContext.broadcast(fit(x, total))
     spread = reps.select("id", "v").mapInArrow(_spread(index, dims), "list int, part int, id string, v binary, code binary")

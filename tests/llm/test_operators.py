@@ -83,6 +83,16 @@ def test_nearest_of_nothing(spark):
     assert neighbours.nearest(spark.createDataFrame([], "record_id string, e array<float>"), "record_id", "e").count() == 0
 
 
+def test_nearest_among_copies_of_few_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_SAMPLE", 64)  # as with millions of rows
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((8, 64)))], "g long, e array<float>")
+    df = spark.range(20_000).withColumn("g", F.col("id") % 8).join(F.broadcast(vectors), "g").select(F.col("id").cast("string").alias("record_id"), "e", "g")
+    for some in (df, df.where("g = 3")):
+        found = neighbours.nearest(some, "record_id", "e").groupBy("id").agg(F.count("*").alias("n"), F.min("cosine").alias("least"))
+        assert found.where("n = 5 and least > 0.999").count() == some.count()
+
+
 def test_forest_and_splits(spark):
     edges = [("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 3.0), ("x", "y", 1.0), ("z", "z", 1.0), (None, "a", 0.0), ("a", "b", 1.0)]
     labels, forest = splits.spanning_forest(spark.createDataFrame(edges, "a string, b string, weight double"))
