@@ -195,8 +195,8 @@ def spam_pages(df: DataFrame, doc_id: str, text: str, trees: int = 20, depth: in
     links or tags.  A page is spam if ``score >= 0.5 and run_share > 0.5``.
     The trees are trained on at most :data:`TRAIN_ROWS` labelled pages of each
     class, chosen by a hash; all pages are scored and all count for the rates of
-    hosts.  If the weak labels know one class only, the score is 1 for pages
-    labelled 1 and else 0.  Every row gives one row, also if repeated; null,
+    hosts.  If the weak labels know one class only, ``page_score`` is 1 for pages
+    of ``run_share > 0.5`` and else ``run_share``.  Every row gives one row, also if repeated; null,
     empty and blank texts give none.
     """
     rows = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
@@ -212,7 +212,7 @@ def spam_pages(df: DataFrame, doc_id: str, text: str, trees: int = 20, depth: in
         model = forest.fit(assemble.transform(some.select(*FEATURES, "label", "_weight")))
         pages = materialize(model.transform(assemble.transform(pages)).withColumn("page_score", vector_to_array("probability")[1]).select("_id", "_page", "n_words", "run_share", "page_score", "_hosts"))
     else:
-        pages = pages.withColumn("page_score", F.when(F.col("label") == 1, 1.0).otherwise(0.0))
+        pages = pages.withColumn("page_score", F.when(F.col("run_share") > 0.5, 1.0).otherwise(F.col("run_share")))
     overall = pages.agg(F.coalesce(F.avg("page_score"), F.lit(0.0)).alias("overall"))  # one row
     on = pages.select("_page", "page_score", F.explode("_hosts").alias("host"))
     rates = on.groupBy("host").agg(F.sum("page_score").alias("sum"), F.count("*").alias("n")).crossJoin(F.broadcast(overall))

@@ -184,3 +184,11 @@ def test_spam_of_longer_pieces_and_mixed_runs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     share = {r.doc_id: r.run_share for r in spam.page_features(df, "text").collect()}
     assert all(share[i] > 0.5 for i in range(1, 7)) and all(share[i] <= 0.5 for i in range(11, 15)) and max(share.values()) <= 1
+
+
+def test_spam_of_one_class(spark):
+    prose = "The reviewer asked whether the pointer may be null when the queue is empty, and nobody answered. "
+    rows = [(1, "cheap laptop | fast mug | " * 6 + "\n" + prose), (2, "cheap laptop | fast mug"), (3, prose + "I read the loop line by line and still can't see how it could overrun the buffer.")]
+    for ids in ((1,), (1, 2), (1, 3), (2, 3), (1, 2, 3)):
+        df = spark.createDataFrame([r for r in rows if r[0] in ids], "doc_id long, text string")
+        assert {r.doc_id for r in spam.spam_pages(df, "doc_id", "text").where("score >= 0.5 and run_share > 0.5").collect()} == {i for i in ids if i < 3}
