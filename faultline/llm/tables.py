@@ -87,7 +87,7 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.allocation(_sized(spark, d), table(spark, d, "mix_targets")).where("not reachable").select("source")
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[1].where("not reachable").select("source")
 
 
 def p7_uses(spark: SparkSession, d: str) -> DataFrame:

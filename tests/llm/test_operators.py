@@ -192,3 +192,16 @@ def test_spam_of_one_class(spark):
     for ids in ((1,), (1, 2), (1, 3), (2, 3), (1, 2, 3)):
         df = spark.createDataFrame([r for r in rows if r[0] in ids], "doc_id long, text string")
         assert {r.doc_id for r in spam.spam_pages(df, "doc_id", "text").where("score >= 0.5 and run_share > 0.5").collect()} == {i for i in ids if i < 3}
+
+
+def test_unreachable_sources_come_from_the_mix(spark, monkeypatch):
+    from faultline.llm import tables
+
+    docs = spark.createDataFrame([(i, s, 10) for i, s in enumerate(["a"] * 9 + ["b"])], "doc_id long, source string, n long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_uses int")
+    mixed = []
+    mix = mixing.mix
+    monkeypatch.setattr(tables, "_sized", lambda s, d: docs)
+    monkeypatch.setattr(tables, "table", lambda s, d, name: targets)
+    monkeypatch.setattr(mixing, "mix", lambda *a: mixed.append(1) or mix(*a))
+    assert rows_of(tables.p7_found(spark, "")) == {("b",)} and mixed
