@@ -56,10 +56,43 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+#: A group that holds at least one of so many rows is heavy; there are at most as many.
+HEAVY = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups``, of which each has one row and its number of ``rows`` in the column ``size``.
+
+    Groups of a thousandth of the ``total`` rows or more are at most
+    :data:`HEAVY`, whatever the data: they are broadcast, and their rows stay
+    where they are.  All other groups are joined by a shuffle, in which no key
+    holds more than a thousandth.  ``how`` is inner or left.  Null keys meet nothing.
+    """
+    keys = [on] if isinstance(on, str) else on
+    more = [c for c in groups.columns if c not in keys]
+    heavy = groups.where(F.col(size) * HEAVY >= total)
+    light = groups.where(F.col(size) * HEAVY < total)
+    told = rows.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), keys, "left")
+    first = told.where("_heavy").drop("_heavy")
+    rest = told.where("_heavy is null").select(*rows.columns)
+    if how == "left":  # a null key would be gathered in one task
+        known = F.lit(True)
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        none = rest.where(~known).withColumns({c: F.lit(None).cast(groups.schema[c].dataType) for c in more})
+        return first.unionByName(none).unionByName(rest.where(known).join(light, keys, "left"))
+    return first.unionByName(rest.join(light, keys))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, where its few small files would leave most of them idle during heavy work on each row."""
+    """``df`` over all cores, where its few small files would leave most of them idle during heavy work on each row.
+
+    Asks the plan's scans alone: to count the partitions of the plan would run its shuffles.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    tasks = max(leaves.apply(i).execute().getNumPartitions() for i in range(leaves.size()))
+    return df if tasks >= cores else df.repartition(2 * cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
