@@ -12,7 +12,6 @@ edit distance of the whole texts, in words.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,27 +21,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.llm.records import canonical
+from faultline.llm.records import tree
 from faultline.workspace import materialize, spread
 
 #: Words of a piece.
 N = 5
 #: Words are written as single characters of these planes, so that a text's edit distance in words is one in characters.
 FIRST_CHAR, CHARS = 0x10000, 0x100000
-_WORD = re.compile(r"[a-z0-9]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words of a text: runs of letters and digits (A-Z, a-z, 0-9), in lower case."""
+    return text.encode("utf-8", "surrogatepass").translate(_APART).split()
+
+
 def words_as_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ``chars``: each word of ``text`` (letters and digits, in lower case) as one character."""
-    seen: dict[str, int] = {}
+    """Instead of ``text``: ``root``, the digest of its tree, and ``chars``, each of its words as one character."""
+    seen: dict[bytes, int] = {}
     for batch in batches:
         if len(seen) > 1_000_000:
             seen.clear()
-        out = []
+        out, roots = [], []
         for text in batch.column("text").to_pylist():
-            # upper case first, for letters outside a-z whose lower case lies within
-            found = _WORD.findall(text.translate(_LOWER))
+            found = words_of(text)
             codes = np.empty(len(found), np.uint32)
             for i, w in enumerate(found):
                 c = seen.get(w)
@@ -50,11 +52,13 @@ def words_as_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                     c = seen[w] = FIRST_CHAR + xxhash.xxh64_intdigest(w) % CHARS
                 codes[i] = c
             out.append(codes.tobytes().decode("utf-32-le"))
+            roots.append(tree(text)[0][:16])
         kept = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(out, pa.string())], [*kept, "chars"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(roots, pa.binary()), pa.array(out, pa.string())], [*kept, "root", "chars"])
 
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: Bytes of letters and digits in lower case, all others as blanks.
+_APART = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 
 
 def _grams(chars: str, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +105,8 @@ def classes(df: DataFrame, record_id: str, text: str, split: str, keep: tuple[st
     """``record_id, side, root, cls, chars`` and the columns ``keep`` of every record with a side and a word, as a written table."""
     rows = df.select(F.col(record_id).alias("record_id"), side_of(F.col(split)).alias("side"), *keep, F.col(text).alias("text"))
     rows = rows.where("record_id is not null and side is not null and text rlike '[A-Za-z0-9]'")
-    rows = rows.withColumn("root", F.unhex(F.md5(canonical(F.col("text")))))
     fields = [f for f in rows.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", chars string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", root binary, chars string"
     return materialize(spread(rows).mapInArrow(words_as_characters, schema).withColumn("cls", F.xxhash64("chars")))
 
 
