@@ -81,9 +81,9 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """``doc_id, source, n`` of the documents of target sources, n being their tokens of byte_bpe_50k."""
-    goals = F.broadcast(table(spark, d, "mix_targets").select("source").distinct())  # a fixed table of a few rows
+    goals = table(spark, d, "mix_targets").select("source").distinct()  # Spark broadcasts it where its measured size allows
     docs = table(spark, d, "documents").select("doc_id", "source", "text").join(goals, "source", "left_semi")
-    return materialize(tokens.token_counts(docs, "text", "n").drop("text"))
+    return materialize(tokens.token_counts(docs, "text", "n"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,40 +1,40 @@
 """Byte-level BPE of a whole corpus with a public vocabulary, inside the JVM.
 
-A text is cut into words by the vocabulary's pattern.  A word is handled as a
-row of bytes; a byte is written as the character of the same number, so that
-pieces can be looked up in a literal map from piece to rank.  Words that are
-themselves entries are looked up in place.  All others are gathered, each
-distinct one is merged once by a fold over its bytes, and the ids go back to
-where the word stands.
+A text is cut into words by the vocabulary's pattern, once.  Words that are
+themselves entries are looked up in place, in a literal map from piece to rank.
+All others are handled as rows of bytes, a byte being written as the character
+of the same number: each distinct one is merged once by a fold over its bytes,
+and the ids go back to where the word stands.  The map is the value of a session
+variable: a literal in the plan, but one that no description of the plan spells out.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import json
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.workspace import spread
+from faultline.workspace import join_groups, materialize, spread
 
 #: Folder of the public vocabularies; every function takes another path as a parameter.
 VOCABULARIES = "/opt/tokenizers"
 BYTE_BPE_50K = f"{VOCABULARIES}/byte_bpe_50k.tiktoken"
-#: How byte_bpe_50k cuts a text into words.
-WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: How byte_bpe_50k cuts a text into words (no part gives back what it has taken).
+WORDS = r"(?U)'(?:[stmd]|re|ve|ll)| ?(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s+(?!\S)|\s+"
 #: The literal map's parts; a look-up reads the few entries of one part.
 PARTS = 8192
 #: Marks of the literal map (no byte is written as one of these), and the character of rank 0.
-OPEN, CLOSE, BREAK, FIRST_RANK = "\u0100", "\u0101", "\u0102", 0x10000
-#: Words of more bytes are merged with a heap, as the fold copies its pieces at every merge.
-LONG = 256
+OPEN, CLOSE, FIRST_RANK = "\u0100", "\u0101", 0x10000
+#: The fold copies its pieces at every merge, so its work grows with the square of a word's bytes: longer words, which no text of a language has, are merged with a heap.
+LONG = 4096
 
 
 @lru_cache(maxsize=4)
@@ -45,12 +45,19 @@ def ranks(path: str = BYTE_BPE_50K) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def _rank_text(path: str) -> str:
+def _rank_parts(path: str, whole: bool) -> list[str]:
+    """The literal map: parts in which an entry is a piece between two marks, followed by the character that stands for its rank.
+
+    Pieces are written byte by byte, or, for look-ups of ``whole`` words, as the texts they are in UTF-8.
+    """
     parts = [""] * PARTS
     for piece, rank in ranks(path).items():
-        name = piece.decode("latin-1")
+        try:
+            name = piece.decode("utf-8" if whole else "latin-1")
+        except UnicodeDecodeError:  # part of a character, so no word
+            continue
         parts[zlib.crc32(name.encode()) % PARTS] += f"{OPEN}{name}{CLOSE}{chr(FIRST_RANK + rank)}"
-    return BREAK.join(parts)
+    return parts
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,17 +65,30 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _table(path: str) -> Column:
-    """The rank map: parts in which an entry is a piece between two marks, followed by the character that stands for its rank."""
-    return F.split(F.lit(_rank_text(path)), BREAK)  # folded into a literal when the plan is optimised
+def _literal(name: str, values: list, kind: pa.DataType) -> Column:
+    """A list as a literal, by way of a variable of the session that holds it as one block of memory."""
+    spark = SparkSession.active()
+    key = (spark._jsparkSession.sessionUUID(), name)
+    if key not in _DECLARED:
+        table = spark.createDataFrame(pa.table({"value": pa.array([values], pa.list_(kind))}))
+        spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {table.schema['value'].dataType.simpleString()}")
+        spark.sql(f"SET VARIABLE {name} = (SELECT value FROM {{table}})", table=table)
+        _DECLARED.add(key)
+    return F.expr(name)
+
+
+_DECLARED: set[tuple[str, str]] = set()
+
+
+def _table(path: str, whole: bool = False) -> Column:
+    return _literal(f"faultline_ranks_{zlib.crc32(f'{path} {whole}'.encode())}", _rank_parts(path, whole), pa.string())
 
 
 def _rank(table: Column, piece: Column) -> Column:
-    """The rank of a piece, or null."""
+    """The rank of a piece, negative if it is none."""
     part = F.get(table, (F.crc32(piece.cast("binary")) % PARTS).cast("int"))
-    entry = F.concat(F.lit(OPEN), piece, F.lit(CLOSE))
-    rank = F.ascii(F.call_function("substring_index", part, entry, F.lit(-1))) - FIRST_RANK
-    return F.when(F.contains(part, entry), rank)
+    # what stands behind the entry, or the whole part, which starts with a mark
+    return F.ascii(F.call_function("substring_index", part, F.concat(F.lit(OPEN), piece, F.lit(CLOSE)), F.lit(-1))) - FIRST_RANK
 
 
 def as_bytes(text: Column) -> Column:
@@ -91,7 +111,7 @@ def merged(word: Column, path: str = BYTE_BPE_50K) -> Column:
     none = F.array().cast("array<int>")
 
     def fold(table: Column) -> Column:
-        rank = lambda piece: F.coalesce(_rank(table, piece), never)
+        rank = lambda piece: _let(_rank(table, piece), lambda r: F.when(r >= 0, r).otherwise(never))
         size = F.char_length(word)
         pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
         # the last entry of r stands behind the last piece and is never joined
@@ -156,20 +176,26 @@ def _tasks(df: DataFrame) -> int:
 
 
 def word_ids(distinct_words: DataFrame, path: str = BYTE_BPE_50K) -> DataFrame:
-    """``word, ids`` for a table of distinct words (written as bytes): the fold, and a heap for the very long ones."""
-    short = F.when(F.char_length("word") <= LONG, F.col("word"))
-    long_ = F.when(F.char_length("word") > LONG, F.col("word"))
-    return distinct_words.repartition(_tasks(distinct_words)).select("word", F.coalesce(merged(short, path), _merged_by_heap(path)(long_)).alias("ids"))
+    """``distinct_words`` with ``ids`` of its column ``word`` (a text)."""
+    rows = distinct_words.repartition(_tasks(distinct_words)).withColumn("_bytes", as_bytes(F.col("word")))
+    short = F.when(F.char_length("_bytes") <= LONG, F.col("_bytes"))
+    long_ = F.when(F.char_length("_bytes") > LONG, F.col("_bytes"))
+    return rows.withColumn("ids", F.coalesce(merged(short, path), _merged_by_heap(path)(long_))).drop("_bytes")
 
 
-def _parts(df: DataFrame, text: str, path: str) -> tuple[DataFrame, DataFrame]:
-    """``df`` with ``_hit`` (for each word its own id, or null) and a key of id and text; and the other words with their places."""
-    found = F.transform(words(F.col(text)), as_bytes)
-    rows = df.withColumn("_words", found).withColumn("_hit", _let(_table(path), lambda t: F.transform(F.col("_words"), lambda w: _rank(t, w))))
-    missing = F.filter(F.transform("_words", lambda w, i: F.when(F.get(F.col("_hit"), i).isNull(), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
-    # the outer form: for the other, Spark infers a filter that looks all words up a second time
-    places = rows.select("_k1", "_k2", F.explode_outer(missing).alias("m")).where("m is not null").select("_k1", "_k2", "m.at", "m.word")
-    return rows.drop("_words"), places
+def _cut(df: DataFrame, text: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` without ``text`` but with ``_row`` (a number) and ``_own`` (for each word its id, negative if it is no entry), and ``_row, at, ids`` of these other words.
+
+    Every text is cut and looked up once; what comes of it is written.
+    """
+    rows = spread(df).withColumn("_words", words(F.col(text))).drop(text)
+    rows = rows.withColumn("_own", _let(_table(path, True), lambda t: F.transform(F.col("_words"), lambda w: _rank(t, w))))
+    more = F.filter(F.transform("_words", lambda w, i: F.when(F.get(F.col("_own"), i) < 0, F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+    rows = materialize(rows.withColumn("_more", more).drop("_words").withColumn("_row", F.monotonically_increasing_id()))
+    places = rows.select("_row", F.explode("_more").alias("m")).select("_row", "m.at", "m.word")
+    found = materialize(word_ids(places.groupBy("word").agg(F.count("*").alias("n")), path))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return rows.drop("_more"), join_groups(places, found, "word", "n", total).select("_row", "at", "ids")
 
 
 def encode(df: DataFrame, doc_id: str, text: str, out: str = "ids", path: str = BYTE_BPE_50K) -> DataFrame:
@@ -180,36 +206,27 @@ def encode(df: DataFrame, doc_id: str, text: str, out: str = "ids", path: str =
     row, also if an id or a whole row is repeated; ids may be null.  Texts and
     words of any length are encoded whole.
     """
-    rows = spread(df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))).withColumns({"_k1": F.xxhash64("_id", "_text"), "_k2": F.xxhash64(F.lit(1), "_id", "_text")})
-    rows, places = _parts(rows, "_text", path)
-    rows = rows.drop("_text")
-    merged_ = word_ids(places.select("word").distinct(), path)
-    # a set, as rows that are repeated send the same places; they share one entry
-    found = places.join(merged_, "word").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("at", "ids")).alias("_more"))
-    ids = F.filter(F.transform("_hit", lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("at"), F.array(x).alias("ids")))), lambda x: x.isNotNull())
-    ids = F.concat(ids, F.coalesce("_more", F.array().cast("array<struct<at:int,ids:array<int>>>")))
-    ids = F.flatten(F.sort_array(ids)["ids"])
-    joined = rows.join(found, ["_k1", "_k2"], "left")
-    return joined.select(F.col("_id").alias(doc_id), F.coalesce(ids, F.array().cast("array<int>")).alias(out))
+    rows, places = _cut(df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text", path)
+    found = places.groupBy("_row").agg(F.collect_list(F.struct("at", "ids")).alias("_others"))  # at most a text's words
+    own = F.filter(F.transform("_own", lambda x, i: F.when(x >= 0, F.struct(i.alias("at"), F.array(x).alias("ids")))), lambda x: x.isNotNull())
+    ids = F.when(F.col("_others").isNull(), F.col("_own")).otherwise(F.flatten(F.sort_array(F.concat(own, F.col("_others")))["ids"]))
+    return rows.join(found, "_row", "left").select(F.col("_id").alias(doc_id), F.coalesce(ids, F.array().cast("array<int>")).alias(out))
 
 
 def token_counts(df: DataFrame, text: str, out: str = "n_tokens", path: str = BYTE_BPE_50K) -> DataFrame:
-    """``df`` with the number of its text's tokens; null and empty texts have none.  No list of ids is built."""
-    rows = spread(df).withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
-    hit, places = _parts(rows, text, path)
-    # a text that stands in many rows is counted for each of them, then averaged: all rows of one text agree
-    sizes = word_ids(places.select("word").distinct(), path).select("word", F.size("ids").alias("n"))
-    more = places.join(sizes, "word").groupBy("_k1", "_k2", "at").agg(F.first("n").alias("n")).groupBy("_k1", "_k2").agg(F.sum("n").alias("_more"))
-    own = F.size(F.filter("_hit", lambda x: x.isNotNull())).cast("long")
-    return hit.join(more, ["_k1", "_k2"], "left").withColumn(out, F.coalesce(own, F.lit(0)) + F.coalesce("_more", F.lit(0))).drop("_k1", "_k2", "_hit", "_more")
+    """``df`` with the number of tokens instead of its text; null and empty texts have none.  No list of ids is put together."""
+    rows, places = _cut(df, text, path)
+    rows = rows.withColumn(out, F.coalesce(F.size(F.filter("_own", lambda x: x >= 0)), F.lit(0)).cast("long")).drop("_own")
+    more = places.groupBy("_row").agg(F.sum(F.size("ids")).alias("_others"))
+    return rows.join(more, "_row", "left").withColumn(out, F.col(out) + F.coalesce("_others", F.lit(0))).drop("_row", "_others")
 
 
 def decode(df: DataFrame, ids: str, out: str = "text", path: str = BYTE_BPE_50K) -> DataFrame:
     """``df`` with the text that its ids stand for: their binary pieces, put together.  Null ids give null, unknown ones too."""
     pieces = [None] * (max(ranks(path).values()) + 1)
     for piece, rank in ranks(path).items():
-        pieces[rank] = base64.b64encode(piece).decode()
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
+        pieces[rank] = piece
+    table = _literal(f"faultline_pieces_{zlib.crc32(path.encode())}", pieces, pa.binary())
     parts = _let(table, lambda t: F.transform(F.col(ids), lambda i: F.get(t, i)))
     whole = F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b))
     return df.withColumn(out, whole.cast("string"))
