@@ -67,21 +67,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: str | list[str], size: s
     :data:`HEAVY`, whatever the data: they are broadcast, and their rows stay
     where they are.  All other groups are joined by a shuffle, in which no key
     holds more than a thousandth.  ``how`` is inner or left.  Null keys meet nothing.
+    ``groups`` is counted first, so it should be a written table or a small one.
     """
     keys = [on] if isinstance(on, str) else on
     more = [c for c in groups.columns if c not in keys]
-    heavy = groups.where(F.col(size) * HEAVY >= total)
-    light = groups.where(F.col(size) * HEAVY < total)
+    is_heavy = F.col(size) * HEAVY >= total
+    n_heavy, n_light = groups.agg(F.count_if(is_heavy), F.count_if(~is_heavy)).first()
+    if n_heavy + n_light <= HEAVY:
+        return rows.join(F.broadcast(groups), keys, how).select(*rows.columns, *more)
+    if not n_heavy and how == "inner":
+        return rows.join(groups, keys).select(*rows.columns, *more)
+    heavy, light = groups.where(is_heavy), groups.where(~is_heavy)
     told = rows.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), keys, "left")
-    first = told.where("_heavy").drop("_heavy")
+    first = told.where("_heavy").select(*rows.columns, *more)
     rest = told.where("_heavy is null").select(*rows.columns)
     if how == "left":  # a null key would be gathered in one task
         known = F.lit(True)
         for k in keys:
             known = known & F.col(k).isNotNull()
         none = rest.where(~known).withColumns({c: F.lit(None).cast(groups.schema[c].dataType) for c in more})
-        return first.unionByName(none).unionByName(rest.where(known).join(light, keys, "left"))
-    return first.unionByName(rest.join(light, keys))
+        return first.unionByName(none).unionByName(rest.where(known).join(light, keys, "left").select(*rows.columns, *more))
+    return first.unionByName(rest.join(light, keys).select(*rows.columns, *more))
 
 
 def spread(df: DataFrame) -> DataFrame:
