@@ -77,7 +77,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: str = "mix") -> tuple[DataFra
     draw = join_groups(docs.where("rest > 0").withColumn("band", F.expr(BAND)), chances, ["source", "band"], "n_band", total)
     u = (F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     odds = u / (1 - u) * (1 - F.col("chance")) / F.col("chance")
-    draw = draw.select("doc_id", "source", "n", "n_docs", "rest", (odds / (1 + odds)).alias("place"))  # in the order of the odds, within [0, 1)
+    draw = materialize(draw.select("doc_id", "source", "n", "n_docs", "rest", (odds / (1 + odds)).alias("place")))  # in the order of the odds, within [0, 1)
     base = draw.select(F.col("source").alias("k"), F.col("place").alias("v"), F.col("n").alias("w"))
     ranks = draw.groupBy(F.col("source").alias("k"), "rest", F.col("n_docs").alias("n")).agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.sum(draw.n).alias("sum"))
     border = select_ranks(base, ranks.select("k", F.lit(0).alias("i"), F.least("rest", "sum").alias("rank"), "lo", "hi", "n"))
