@@ -111,7 +111,7 @@ def merged(word: Column, path: str = BYTE_BPE_50K) -> Column:
     none = F.array().cast("array<int>")
 
     def fold(table: Column) -> Column:
-        rank = lambda piece: _let(_rank(table, piece), lambda r: F.when(r >= 0, r).otherwise(never))
+        rank = lambda piece: _rank(table, piece).bitwiseAND(F.lit(0x7FFFFFFF))  # noqa: E731  # what is no piece ranks above never
         size = F.char_length(word)
         pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
         # the last entry of r stands behind the last piece and is never joined
