@@ -1,10 +1,10 @@
 """Pages of repeated keywords, lists of links or product tags instead of writing.
 
-Content and link features of each page, computed inside the JVM; weak labels
-from a few clear rules; bagged decision trees trained on them; and smoothing of
-each page's prediction by the rate of spam on the hosts it links to.  What the
-trees find is confirmed by counting: more than half of the words must belong to
-such runs.
+Content and link features of each page, computed inside the JVM; weak labels of
+pages that are clearly made of runs or clearly not, told by counting the words
+in runs; bagged decision trees trained on them, which see none of these counts;
+and smoothing of each page's prediction by the rate of spam on the hosts it
+links to.  The smoothed score alone decides.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from faultline.workspace import materialize, spread
 
 #: Labelled pages of each class that the trees are trained on, at most.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 100_000
 #: Pages of a host that weigh as much as the rate of all pages.
 HOST_PRIOR = 5.0
 #: How far the hosts' rate may move a page, at most.
@@ -34,6 +34,8 @@ _LINK = (
 )
 #: A product tag: a kind, a number and what follows up to the next separator; a kind and a value; or a hash tag.
 _TAG = r"(?<![\p{L}\p{N}_.])(?:\p{L}{2,8}:\p{L}?\d{4,}+(?:[ \t]++[^\s;|,]++){1,9}|\p{L}{2,8}[:=][\p{L}\p{M}\p{N}_-]++(?=[\s;,|]|$)|#\p{L}[\p{L}\p{M}\p{N}_]*+)"
+#: A product's property and value; counts as a tag where the property is given again and again.
+_PAIR = r"(?<![\p{L}\p{N}_.])\p{L}{2,8}[ \t]++=[ \t]++[\p{L}\p{M}\p{N}_-]++(?=[\s;,|]|$)"
 _TABLE = r"(?m)^[ \t]*+\|.*$"
 _LINE = r"[\n\r\u0085\u2028\u2029]+"
 _BREAK = r"[|;,•·>]++|\s[-*/]++(?:\s|$)|\. |。"
@@ -70,7 +72,10 @@ SOUP = 40
 #: So many words of a paragraph's vocabulary make up most of it if it repeats keywords.
 TOP = 12
 
-FEATURES = ("run_share", "link_share", "tag_share", "keyword_share", "short_share", "soup_share", "repeat_share", "sentences", "code_signs", "digit_share", "table_share", "han_share", "log_words", "words_a_line")
+#: What the trees see: none of it counts runs.
+FEATURES = (
+    "function_share urls commas colons hashes distinct_share top_share capitals ended_lines word_length code_words anchors separators sentences code_signs digit_share table_share han_share log_words words_a_line"
+).split()
 
 
 def _top_share(words: Column) -> Column:
@@ -135,6 +140,10 @@ def page_features(df: DataFrame, text: str) -> DataFrame:
     links = F.regexp_extract_all("_t", F.lit(_LINK), F.lit(0))
     rows = rows.withColumn("_links", links).withColumn("_rest", F.regexp_replace("_t", _LINK, "\n"))
     rows = rows.withColumn("_tags", F.regexp_extract_all("_rest", F.lit(_TAG), F.lit(0))).withColumn("_rest", F.regexp_replace("_rest", _TAG, "\n"))
+    key = lambda pair: F.lower(F.regexp_extract(pair, r"^\p{L}+", 0))
+    pairs = F.transform(F.regexp_extract_all("_rest", F.lit(_PAIR), F.lit(0)), lambda pair: F.struct(key(pair).alias("key"), pair.alias("pair")))
+    often = lambda found: F.transform(F.filter(found, lambda x: F.size(F.filter(found, lambda y: y["key"] == x["key"])) >= REPEATS), lambda x: x["pair"])
+    rows = rows.withColumn("_pairs", F.get(F.transform(F.array(pairs), often), 0))
     rows = rows.withColumn("_table", F.regexp_extract_all("_rest", F.lit(_TABLE), F.lit(0))).withColumn("_rest", F.regexp_replace("_rest", _TABLE, ""))
     rows = rows.withColumn("_lines", F.transform(F.filter(F.split("_rest", _LINE), lambda p: p.rlike(_WORD)), _line))
     # pieces that are no run by themselves are if they are repeated
@@ -146,35 +155,53 @@ def page_features(df: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("_others", F.flatten(F.transform(F.filter("_lines", lambda p: ~p["again"]), lambda p: F.filter(p["units"], marked))))
     again = F.filter("_lines", lambda p: p["again"])
     rows = rows.withColumn("_again", F.aggregate(again, F.lit(0), lambda a, p: a + p["k"]))
-    of = lambda kind: F.filter("_units", lambda u: u["kind"] == kind)
     total = lambda units: F.aggregate(units, F.lit(0), lambda a, u: a + u["k"])
     # one piece, link or tag or two don't make a list, but where they make up most of the page
-    link, tag, others = _words(F.array_join("_links", " ")), _words(F.array_join("_tags", " ")), total(F.col("_others"))
-    rows = rows.withColumns({"_link_words": link, "_tag_words": tag, "_other_words": others, "_pieces": F.size("_links") + F.size("_tags") + F.size("_others")})
+    link, tag, others = _words(F.array_join("_links", " ")), _words(F.array_join(F.concat("_tags", "_pairs"), " ")), total(F.col("_others"))
+    rows = rows.withColumns({"_link_words": link, "_tag_words": tag, "_other_words": others, "_pieces": F.size("_links") + F.size("_tags") + F.size("_pairs") + F.size("_others")})
     most = (F.col("_link_words") + F.col("_tag_words") + F.col("_other_words") + F.col("_again")) * 2 > n
     rows = rows.withColumn("_most", most & (F.col("_pieces") + F.when(F.col("_again") > 0, 2).otherwise(0) >= 2))
     share = lambda part: part / n
     rows = rows.withColumns(
         {
             "link_share": F.when(F.col("_most") | (F.size("_links") >= 4), share(F.col("_link_words"))).otherwise(0.0),
-            "tag_share": F.when(F.col("_most") | (F.size("_tags") >= 4), share(F.col("_tag_words"))).otherwise(0.0),
+            "tag_share": F.when(F.col("_most") | (F.size("_tags") + F.size("_pairs") >= 4), share(F.col("_tag_words"))).otherwise(0.0),
             "keyword_share": share(F.col("_again") + F.when(F.col("_most") | (F.size("_units") >= 8), F.col("_other_words")).otherwise(total(F.filter("_others", lambda u: u["kind"] == "soup")))),
-            "short_share": F.when(F.size(of("short")) >= 8, share(total(of("short")))).otherwise(0.0),
-            "soup_share": share(total(of("soup"))),
-            "repeat_share": share(F.col("_again")),
-            "sentences": share(F.regexp_count("_t", F.lit(r"[.!?。](?:\s|$)|。"))),
-            "code_signs": share(F.regexp_count("_t", F.lit(r"[{}()\[\]=<>&*;]"))),
-            "digit_share": share(F.regexp_count("_t", F.lit(r"\p{N}++"))),
-            "table_share": share(_words(F.array_join("_table", " "))),
-            "han_share": F.regexp_count("_t", F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")) / F.char_length("_t"),
-            "log_words": F.log1p(n),
-            "words_a_line": F.log1p(n / F.regexp_count("_t", F.lit(r"(?m)^."))),
         }
     )
+    rows = rows.withColumns(content_features(F.col("_t"), n)).withColumn("table_share", share(_words(F.array_join("_table", " "))))
     host = F.regexp_extract_all(F.lower("_t"), F.lit(rf"(?<![\p{{L}}\p{{M}}\p{{N}}.-]){_HOST}(?=/|:\d|\s|$)"), F.lit(0))
     # an address's host by its last two labels, so that its subdomains count together
     hosts = F.array_distinct(F.transform(F.when(F.size("_links") > 0, host).otherwise(F.array().cast("array<string>")), lambda h: F.call_function("substring_index", h, F.lit("."), F.lit(-2))))
-    return rows.withColumn("_hosts", hosts).drop("_t", "_links", "_rest", "_tags", "_table", "_lines", "_keys", "_often", "_units", "_others", "_again", "_link_words", "_tag_words", "_other_words", "_pieces", "_most").withColumn("run_share", F.round(run_share(), 6))
+    return rows.withColumn("_hosts", hosts).drop("_t", "_links", "_rest", "_tags", "_pairs", "_table", "_lines", "_keys", "_often", "_units", "_others", "_again", "_link_words", "_tag_words", "_other_words", "_pieces", "_most").withColumn("run_share", F.round(run_share(), 6))
+
+
+def content_features(text: Column, n: Column) -> dict[str, Column]:
+    """What a text of ``n`` words looks like, without a look at runs."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    rate = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
+    lines = F.regexp_count(text, F.lit(r"(?m)^."))
+    return {
+        "function_share": rate(_FUNCTION) + rate(_SENTENCE),
+        "urls": rate(r"https?://|www\."),
+        "commas": rate(r"[,;·•]"),
+        "colons": rate(r"[\p{L}\p{N}][ \t]?[:=][ \t]?[\p{L}\p{N}]"),
+        "hashes": rate(r"#\p{L}"),
+        "distinct_share": F.size(F.array_distinct(words)) / n,
+        "top_share": _top_share(words),
+        "capitals": rate(r"\p{Lu}"),
+        "ended_lines": F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"(?m)[.!?:;{})][ \t]*+$")), lines), F.lit(0.0)),
+        "word_length": rate(r"[\p{L}\p{M}\p{N}]"),
+        "code_words": rate(r"\b(?:int|char|void|return|struct|if|for|while|NULL|const|static)\b"),
+        "anchors": rate(r"</a>|\]\(|\[/url\]"),
+        "separators": rate(r"\s[-*/>→]+\s|[|;,•·]"),
+        "sentences": rate(r"[.!?。](?:\s|$)|。"),
+        "code_signs": rate(r"[{}()\[\]=<>&*;]"),
+        "digit_share": rate(r"\p{N}++"),
+        "han_share": F.regexp_count(text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")) / F.char_length(text),
+        "log_words": F.log1p(n),
+        "words_a_line": F.log1p(F.coalesce(F.try_divide(n, lines), n)),
+    }
 
 
 def run_share() -> Column:
@@ -187,15 +214,16 @@ def weak_label() -> Column:
     return F.when((F.col("run_share") > 0.75) & (F.col("n_words") >= 8), 1.0).when(F.col("run_share") < 0.35, 0.0)
 
 
-def spam_pages(df: DataFrame, doc_id: str, text: str, trees: int = 20, depth: int = 6, seed: int = 7) -> DataFrame:
+def spam_pages(df: DataFrame, doc_id: str, text: str, trees: int = 40, depth: int = 10, seed: int = 7) -> DataFrame:
     """``doc_id, n_words, run_share, page_score, score`` of every page that has a word.
 
     ``page_score`` is the trees' probability, ``score`` is the same after
-    smoothing by hosts, ``run_share`` the share of words in runs of keywords,
-    links or tags.  A page is spam if ``score >= 0.5 and run_share > 0.5``.
+    smoothing by hosts: a page is spam if it is at least 0.5.  ``run_share``,
+    the share of words in runs of keywords, links or tags, is what the weak
+    labels come from; it is given for reports.
     The trees are trained on at most :data:`TRAIN_ROWS` labelled pages of each
     class, chosen by a hash; all pages are scored and all count for the rates of
-    hosts.  If the weak labels know one class only, ``page_score`` is 1 for pages
+    hosts.  A page of one word has page score 0.  If the weak labels know one class only, ``page_score`` is 1 for pages
     of ``run_share > 0.5`` and else ``run_share``.  Every row gives one row, also if repeated; null,
     empty and blank texts give none.
     """
@@ -213,6 +241,7 @@ def spam_pages(df: DataFrame, doc_id: str, text: str, trees: int = 20, depth: in
         pages = materialize(model.transform(assemble.transform(pages)).withColumn("page_score", vector_to_array("probability")[1]).select("_id", "_page", "n_words", "run_share", "page_score", "_hosts"))
     else:
         pages = pages.withColumn("page_score", F.when(F.col("run_share") > 0.5, 1.0).otherwise(F.col("run_share")))
+    pages = pages.withColumn("page_score", F.when(F.col("n_words") > 1, F.col("page_score")).otherwise(0.0))  # one word, however long, repeats and lists nothing
     overall = pages.agg(F.coalesce(F.avg("page_score"), F.lit(0.0)).alias("overall"))  # one row
     on = pages.select("_page", "page_score", F.explode("_hosts").alias("host"))
     rates = on.groupBy("host").agg(F.sum("page_score").alias("sum"), F.count("*").alias("n")).crossJoin(F.broadcast(overall))
