@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,28 +20,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.workspace import broadcast_if_small, materialize
-
-#: Centres, at most; with the code books they are what is broadcast (2 MB for 64 dimensions).
-MAX_LISTS = 8192
-#: Vectors the index is fitted on, at most.
-MAX_SAMPLE = 65_536
-#: Lists a vector asks.
-PROBES = 3
-#: Candidates of a list that are ranked by the exact cosine, for each query.
-RERANK = 40
-#: Vectors of a list in one task, at most; a longer list is cut into parts, each of which sees all its queries.
-PART = 4096
+from faultline.workspace import join_groups, materialize
+
+#: Vectors of a list that meet in one task with as many queries as ASKED, at most; a longer list is cut into parts.
+PART, ASKED = 4096, 65_536
+#: Vectors that are searched by brute force to measure recall when an index is fitted.
+PROBED = 512
 #: Cosines above this matter; it sets the weight of the parallel error.
 THRESHOLD = 0.2
 
 
-@dataclass(frozen=True)
-class Index:
+class Settings(NamedTuple):
+    """How an index is fitted and asked.
+
+    ``sample`` vectors at most are fitted on and ``lists`` centres at most are
+    made; with the code books they are what is sent to all tasks (2 MB for
+    8,192 lists of 64 dimensions).  The number of lists grows with the root of
+    the collection; where ``lists`` stops it (at 17 million vectors), lists grow
+    instead, so larger collections should have more of both, as far as the
+    driver's memory goes.  ``recall`` is what the lists asked and the candidates
+    ranked again must each reach on held-out vectors of the sample; both numbers
+    are doubled until they do, up to all.  ``exact`` compares all with all, in blocks.
+    """
+
+    sample: int = 65_536
+    lists: int = 8192
+    recall: float = 0.985
+    exact: bool = False
+
+
+class Index(NamedTuple):
     centres: np.ndarray  # lists x dims
     books: np.ndarray  # pairs of dimensions x 16 x 2
-    parts: np.ndarray  # tasks of each list
+    parts: np.ndarray  # parts of each list's vectors
+    shifts: np.ndarray  # parts of each list's queries
     weight: float  # of the parallel error, less 1
+    probes: int  # lists a vector asks
+    rerank: int  # candidates of a list that are ranked by the exact cosine, for each query
+    found: float  # recall on held-out vectors
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -118,55 +134,103 @@ def _fit_books(x: np.ndarray, residual: np.ndarray, weight: float, rng: np.rando
     return books
 
 
-def fit(sample: np.ndarray, total: int, seed: int = 7) -> Index:
+def fit(sample: np.ndarray, total: int, k: int, settings: Settings, seed: int = 7) -> Index:
     """An index for ``total`` vectors, fitted on unit vectors ``sample``."""
     rng = np.random.default_rng(seed)
     dims = sample.shape[1]
-    lists = max(1, min(MAX_LISTS, int(2 * math.sqrt(total)), len(sample) // 8 or 1))
+    if settings.exact:
+        parts = max(1, math.ceil(total / PART))
+        return Index(np.zeros((1, dims), np.float32), np.zeros((dims // 2, 16, 2), np.float32), np.array([parts]), np.array([max(1, math.ceil(total / ASKED))]), 0.0, 1, total, 1.0)
+    lists = max(1, min(settings.lists, int(2 * math.sqrt(total)), len(sample) // 8 or 1))
     centres = _kmeans(sample, lists, rng)
     weight = max(1.0, (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)) - 1
     few = sample[rng.choice(len(sample), min(len(sample), 16_384), replace=False)]
     books = _fit_books(few, few - centres[_nearest(few, centres, 1)[:, 0]], weight, rng)
-    share = np.bincount(_nearest(sample, centres, 1)[:, 0], minlength=lists) / len(sample)
-    return Index(centres, books, np.maximum(1, np.ceil(share * total / PART)).astype(np.int32), weight)
+    at = _nearest(sample, centres, 1)[:, 0]
+    probes, rerank, found = _tune(sample, at, centres, books, weight, total, k, settings.recall, rng)
+    share = np.bincount(at, minlength=lists) / len(sample)
+    asked = np.bincount(_nearest(few, centres, probes).ravel(), minlength=lists) / len(few)
+    count = lambda x, size: np.maximum(1, np.ceil(x * total / size)).astype(np.int32)
+    return Index(centres, books, count(share, PART), count(asked, ASKED), weight, probes, rerank, found)
+
+
+def _tune(x, at, centres, books, weight, total: int, k: int, target: float, rng) -> tuple[int, int, float]:
+    """The lists to ask and the candidates to rank again that find ``target`` of the neighbours that brute force finds within the sample.
+
+    The collection is denser than its sample, so that a query's neighbours in
+    it are nearer, and its lists hold more: candidates are scaled to that.
+    """
+    chosen = rng.choice(len(x), min(PROBED, len(x)), replace=False)
+    k = min(k, len(x) - 1)
+    if k < 1 or len(centres) == 1:
+        return 1, 40, 1.0
+    score = x[chosen] @ x.T
+    score[np.arange(len(chosen)), chosen] = -2
+    true = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    ranked = _nearest(x[chosen], centres, len(centres))
+    place = np.empty_like(ranked)
+    np.put_along_axis(place, ranked, np.arange(len(centres), dtype=np.int32)[None].repeat(len(chosen), 0), 1)
+    needed = np.take_along_axis(place, at[true], 1) + 1  # lists to ask until a neighbour's is among them
+    probes = 1
+    while probes < len(centres) and (needed <= probes).mean() < target:
+        probes = min(probes + (probes // 2 or 1), len(centres))
+    # the place that the codes give a neighbour among the vectors of its list
+    codes = encode(x, x - centres[at], books, weight)
+    order, starts = np.argsort(at, kind="stable"), np.searchsorted(np.sort(at), np.arange(len(centres) + 1))
+    behind = np.empty(true.shape)
+    pair = np.arange(len(books))
+    for i, q in enumerate(x[chosen]):
+        table = np.einsum("pcd,pd->pc", books, q.reshape(-1, 2))
+        for j, n in enumerate(true[i]):
+            mates = order[starts[at[n]] : starts[at[n] + 1]]
+            near = table[pair, codes[mates]].sum(1)
+            behind[i, j] = (near > near[mates == n][0]).sum()
+    scale = max(1.0, total / len(x)) ** 0.5
+    rerank = 40
+    while rerank < total and (behind * scale < rerank).mean() < target:
+        rerank *= 2
+    return probes, rerank, float(((needed <= probes) & (behind * scale < rerank)).mean())
 
 
 def _spread(index, dims: int):
-    """Rows of data (once) and of queries (once for each list asked and part of it)."""
+    """Rows of data (once for each part of their list's queries) and of queries (once for each list asked and part of it)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
-        probes = min(PROBES, len(ix.centres))
+        centres, books, parts, shifts, weight, probes, _, _ = index.value
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             ids = batch.column("id")
-            x = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(n, dims))
-            near = _nearest(x, ix.centres, probes)
-            codes = encode(x, x - ix.centres[near[:, 0]], ix.books, ix.weight)
-            vectors = pa.array([r.tobytes() for r in x], pa.binary())
-            mine = (np.arange(n) * 2654435761 + np.frombuffer(x.tobytes(), np.uint32).reshape(n, dims)[:, 0]) % ix.parts[near[:, 0]]
-            yield _rows(near[:, 0], mine, ids, vectors, pa.array([r.tobytes() for r in codes], pa.binary()))
-            lists, row = near.ravel(), np.repeat(np.arange(n), probes)
-            times = ix.parts[lists]
-            row, lists = np.repeat(row, times), np.repeat(lists, times)
-            part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            raw = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(n, dims).astype(np.float32)
+            x = _unit(raw)
+            near = _nearest(x, centres, probes)
+            codes = encode(x, x - centres[near[:, 0]], books, weight) if len(centres) > 1 else np.zeros((n, dims // 2), np.uint8)
+            vectors = pa.array([r.tobytes() for r in raw], pa.binary())
+            mark = np.arange(n) * 2654435761 + np.frombuffer(raw.tobytes(), np.uint32).reshape(n, dims)[:, 0]
+            home = near[:, 0]
+            yield _rows(home, mark % parts[home], shifts[home], True, ids, vectors, pa.array([r.tobytes() for r in codes], pa.binary()))
+            lists, row = near.ravel(), np.repeat(np.arange(n), near.shape[1])
             take = pa.array(row)
-            yield _rows(lists, part, ids.take(take), vectors.take(take), pa.nulls(len(row), pa.binary()))
+            yield _rows(lists, mark[row] // 7 % shifts[lists], parts[lists], False, ids.take(take), vectors.take(take), pa.nulls(len(row), pa.binary()))
 
     return spread
 
 
-def _rows(lists, parts, ids, vectors, codes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(parts, pa.int32()), ids, vectors, codes], ["list", "part", "id", "v", "code"])
+def _rows(lists, own, times, data: bool, ids, vectors, codes) -> pa.RecordBatch:
+    """Every row ``times`` over: with its own place on one side of the list's blocks, and every place on the other."""
+    row = np.repeat(np.arange(len(lists)), times)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    part, shift = (own[row], other) if data else (other, own[row])
+    take = pa.array(row)
+    return pa.RecordBatch.from_arrays([pa.array(lists[row], pa.int32()), pa.array(part, pa.int32()), pa.array(shift, pa.int32()), ids.take(take), vectors.take(take), codes.take(take)], ["list", "part", "shift", "id", "v", "code"])
 
 
 def _scan(index, dims: int, k: int):
     def scan(block: pa.Table) -> pa.Table:
-        books = index.value.books
+        books, rerank = index.value[1], index.value[6]
         is_data = np.asarray(block.column("code").is_valid())
-        data, asked = block.filter(pa.array(is_data)), block.filter(pa.array(~is_data))
+        data, asked = block.filter(pa.array(is_data)).sort_by("id"), block.filter(pa.array(~is_data))
         out = ([], [], [])
         if data.num_rows and asked.num_rows:
             x = np.frombuffer(b"".join(data.column("v").to_pylist()), np.float32).reshape(-1, dims)
@@ -174,29 +238,38 @@ def _scan(index, dims: int, k: int):
             q = np.frombuffer(b"".join(asked.column("v").to_pylist()), np.float32).reshape(-1, dims)
             names, askers = np.array(data.column("id").to_pylist(), object), np.array(asked.column("id").to_pylist(), object)
             for a in range(0, len(q), 1024):
-                at, who, score = _best(x, codes, q[a : a + 1024], books, k + 1)
+                at, who, score = _best(x, codes, q[a : a + 1024], books, k + 1, rerank)
                 one, two = askers[a : a + 1024][who], names[at]
                 other = one != two
                 out[0].append(one[other]), out[1].append(two[other]), out[2].append(score[other])
         flat = [np.concatenate(o) if o else [] for o in out]
-        return pa.Table.from_arrays([pa.array(flat[0], pa.string()), pa.array(flat[1], pa.string()), pa.array(flat[2], pa.float32())], ["id", "neighbour", "cosine"])
+        return pa.Table.from_arrays([pa.array(flat[0], pa.string()), pa.array(flat[1], pa.string()), pa.array(flat[2], pa.float64())], ["id", "neighbour", "cosine"])
 
     return scan
 
 
-def _best(x, codes, q, books, k):
-    """The ``k`` best data rows of each query: row, query, exact cosine; found by the codes, ranked by the vectors."""
+def _best(x, codes, q, books, k, rerank):
+    """The ``k`` best data rows of each query: row, query, exact cosine; found by the codes, ranked by the vectors. Ties go to the earlier row."""
     pairs = len(books)
-    tables = np.matmul(books, np.ascontiguousarray(q.reshape(len(q), pairs, 2).transpose(1, 2, 0)))  # pairs x 16 x queries
-    score = np.zeros((len(x), len(q)), np.float32)
-    for s in range(pairs):
-        score += tables[s].take(codes[:, s], axis=0)
-    few = min(RERANK, len(x))
-    top = np.argpartition(-score, few - 1, axis=0)[:few] if few < len(x) else np.broadcast_to(np.arange(len(x))[:, None], score.shape)
-    exact = np.einsum("rqd,qd->rq", x[top], q)
-    keep = np.argsort(-exact, axis=0, kind="stable")[:k]
-    at, exact = np.take_along_axis(top, keep, 0), np.take_along_axis(exact, keep, 0)
-    return at.ravel(), np.tile(np.arange(len(q)), len(keep)), exact.ravel()
+    length = np.linalg.norm(x.astype(np.float64), axis=1)
+    unit = q.astype(np.float64) / np.linalg.norm(q.astype(np.float64), axis=1, keepdims=True)
+    if rerank >= len(x):  # all are ranked
+        exact = np.round((x.astype(np.float64) @ unit.T) / length[:, None], 9)
+        at = np.argsort(-exact, axis=0, kind="stable")[:k]
+    else:
+        tables = np.matmul(books, np.ascontiguousarray(unit.astype(np.float32).reshape(len(q), pairs, 2).transpose(1, 2, 0)))  # pairs x 16 x queries
+        score = np.zeros((len(x), len(q)), np.float32)
+        for s in range(pairs):
+            score += tables[s].take(codes[:, s], axis=0)
+        top = np.sort(np.argpartition(-score, rerank - 1, axis=0)[:rerank], axis=0)
+        near = np.empty(top.shape)
+        for a in range(0, len(q), 128):  # so that few vectors are copied at once
+            near[:, a : a + 128] = np.einsum("rqd,qd->rq", x[top[:, a : a + 128]], unit[a : a + 128], optimize=True)
+        near = np.round(near / length[top], 9)
+        keep = np.argsort(-near, axis=0, kind="stable")[:k]
+        at, exact = np.take_along_axis(top, keep, 0), near
+        return at.ravel(), np.tile(np.arange(len(q)), len(keep)), np.take_along_axis(near, keep, 0).ravel()
+    return at.ravel(), np.tile(np.arange(len(q)), len(at)), np.take_along_axis(exact, at, 0).ravel()
 
 
 def usable(df: DataFrame, record_id: str, vector: str, dims: int) -> DataFrame:
@@ -208,16 +281,17 @@ def usable(df: DataFrame, record_id: str, vector: str, dims: int) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & finite & ((F.array_max(v) > 0) | (F.array_min(v) < 0)))
 
 
-def nearest(df: DataFrame, record_id: str, vector: str, dims: int = 64, k: int = 5) -> DataFrame:
+def nearest(df: DataFrame, record_id: str, vector: str, dims: int = 64, k: int = 5, settings: Settings = Settings()) -> DataFrame:
     """For each usable vector the ``k`` others of the highest cosine: ``id, neighbour, cosine, rank``.
 
     Vectors that are null, of another length, hold a null, NaN or infinity or
     are all zero are neither queries nor neighbours.  Ids are read as strings;
     rows that repeat both id and vector count once.  Equal vectors are
     searched once, however many there are, and are each other's neighbours
-    first; ties go to the smaller id.  A collection of k or fewer gives fewer
-    neighbours, an empty one none.  The search is approximate: recall is
-    measured in the tests and reported in the README.  ``dims`` must be even.
+    first; ties (of nine decimals) go to the smaller id.  A collection of k or fewer gives fewer
+    neighbours, an empty one none.  The search is approximate unless
+    ``settings`` ask for an exact one: how many lists a vector asks is set by
+    the recall that a held-out sample reaches.  ``dims`` must be even.
     """
     if dims % 2 or k < 1:
         raise ValueError("an even number of dimensions and k >= 1 are needed")
@@ -226,39 +300,42 @@ def nearest(df: DataFrame, record_id: str, vector: str, dims: int = 64, k: int =
     groups = rows.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     many = materialize(groups.where("n > 1"))
     copies, repeated = many.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    total = rows.count() - repeated + copies  # different vectors: what is sampled, indexed and searched
+    n_rows = rows.count()
+    total = n_rows - repeated + copies  # different vectors: what is sampled, indexed and searched
     if not total:
-        return spark.createDataFrame([], "id string, neighbour string, cosine float, rank int")
+        return spark.createDataFrame([], "id string, neighbour string, cosine double, rank int")
     reps = rows
     if copies:
-        known = broadcast_if_small(many, copies)
-        reps = rows.join(known, ["k1", "k2"], "left").where("first is null or id = first").drop("first", "n").dropDuplicates(["id", "k1", "k2"])
-    want = min(MAX_SAMPLE, max(16_384, 32 * int(2 * math.sqrt(total))))
+        reps = join_groups(rows, many, ["k1", "k2"], "n", n_rows, "left").where("first is null or id = first").drop("first", "n").dropDuplicates(["id", "k1", "k2"])
+    want = min(settings.sample, max(16_384, 32 * int(2 * math.sqrt(total))))
     chance = F.pmod(F.xxhash64(F.lit("sample"), "id", "k1"), F.lit(1 << 30)) < int(min(1.0, want / total) * (1 << 30))
     sample = reps.where(chance).select("v").toArrow().column("v").combine_chunks()
     if len(sample) * 2 < min(want, total):  # can't happen but for a poor hash; an index of a handful finds little
         sample = reps.select("v").limit(want).toArrow().column("v").combine_chunks()
     x = _unit(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
-    index = spark.sparkContext.broadcast(fit(x, total))
-    spread = reps.select("id", "v").mapInArrow(_spread(index, dims), "list int, part int, id string, v binary, code binary")
-    hits = spread.groupBy("list", "part").applyInArrow(_scan(index, dims, k), "id string, neighbour string, cosine float")
+    index = spark.sparkContext.broadcast(tuple(fit(x, total, k, settings)))  # plain arrays: tasks need no class of this package
+    spread = reps.select("id", "v").mapInArrow(_spread(index, dims), "list int, part int, shift int, id string, v binary, code binary")
+    hits = spread.groupBy("list", "part", "shift").applyInArrow(_scan(index, dims, k), "id string, neighbour string, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    if copies:
-        hits = _with_copies(hits, rows, many, copies, k)
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def _with_copies(hits: DataFrame, rows: DataFrame, many: DataFrame, n_many: int, k: int) -> DataFrame:
-    """Neighbours among representatives carried over to all copies: each group stands by its k + 1 smallest ids."""
-    known = broadcast_if_small(many, n_many)
-    members = rows.join(known, ["k1", "k2"]).select("id", "first").distinct()
-    some = members.withColumn("nth", F.row_number().over(Window.partitionBy("first").orderBy("id"))).where(F.col("nth") <= k + 1).select(F.col("id").alias("other"), "first")
-    best = hits.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("nth") <= k).drop("nth")
-    a = members.select(F.col("id").alias("member"), "first").alias("a")
-    asked = best.join(a, F.col("id") == F.col("a.first"), "left").select(F.coalesce("member", "id").alias("id"), "neighbour", "cosine")
-    named = asked.join(some.alias("s"), F.col("neighbour") == F.col("s.first"), "left").select("id", F.coalesce("other", "neighbour").alias("neighbour"), "cosine")
-    own = members.join(some, "first").where("id <> other").select("id", F.col("other").alias("neighbour"), F.lit(1.0).cast("float").alias("cosine"))
-    return named.unionByName(own)
+    hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return _with_copies(hits, rows, many, n_rows, k) if copies else hits
+
+
+def _with_copies(hits: DataFrame, rows: DataFrame, many: DataFrame, total: int, k: int) -> DataFrame:
+    """Neighbours among representatives carried over to all copies: each group stands by its k + 1 smallest ids, and its rows share one list."""
+    members = join_groups(rows.select("id", "k1", "k2"), many, ["k1", "k2"], "n", total).select("id", "first").distinct()
+    some = members.withColumn("nth", F.row_number().over(Window.partitionBy("first").orderBy("id"))).where(F.col("nth") <= k + 1).select(F.col("id").alias("other"), "first")  # cut to k + 1 before the shuffle, too
+    some = materialize(some)
+    named = hits.join(some, F.col("neighbour") == F.col("first"), "left").select("id", F.coalesce("other", "neighbour").alias("other"), "cosine")
+    own = some.select(F.col("first").alias("id"), "other", F.lit(1.0).alias("cosine"))
+    # at most (k + 1) * (k + 1) names each
+    lists = named.unionByName(own).groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "other"))).alias("near"))
+    sizes = many.select(F.col("first").alias("id"), "n")
+    shared = materialize(lists.join(sizes, "id", "left"))
+    of_groups = join_groups(members, shared.where("n is not null").select(F.col("id").alias("first"), "n", "near"), "first", "n", total)
+    all_ = shared.where("n is null").select("id", "near").unionByName(of_groups.select("id", "near"))
+    mine = F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k)
+    return all_.select("id", F.posexplode(mine).alias("pos", "x")).select("id", F.col("x.other").alias("neighbour"), (-F.col("x.far")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:

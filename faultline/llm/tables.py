@@ -48,6 +48,11 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d)
 
 
+def p4_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest records of every record, all compared with all in blocks: what the approximate search is measured by."""
+    return neighbours.nearest(table(spark, d, "feature_store"), "record_id", "semantic_embeddings", settings=neighbours.Settings(exact=True)).select("id", "neighbour", "rank", F.round("cosine", 6).alias("cosine"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = splits.spelling_pairs(table(spark, d, "function_records"), "project")
     return pairs.select(F.col("value_a").alias("project_a"), F.col("value_b").alias("project_b"))
@@ -101,7 +106,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam_pages(table(spark, d, "documents"), "doc_id", "text").where("score >= 0.5 and run_share > 0.5").select("doc_id")
+    return spam.spam_pages(table(spark, d, "documents"), "doc_id", "text").where("score >= 0.5").select("doc_id")
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +115,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_copy_counts, p3_found, p3_report, p4_found, p4_neighbours, p5_found, p5_assignment, p5_report, p6_ids, p6_round_trip, p7_found, p7_uses, p7_report, p8_found, p8_scores)}
+    return {f.__name__: f for f in (p1_found, p1_copy_counts, p3_found, p3_report, p4_found, p4_neighbours, p4_exact, p5_found, p5_assignment, p5_report, p6_ids, p6_round_trip, p7_found, p7_uses, p7_report, p8_found, p8_scores)}
 
 
 _P1 = r"""
@@ -130,6 +135,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT row_id_first, row_id AS row_id_copy FROM trees JOIN groups USING (tree) WHERE row_id <> row_id_first",
         "p1_copy_counts": _P1 + "SELECT row_id_first, n_copies FROM groups",
+        "p4_exact": """
+WITH u AS (SELECT DISTINCT record_id, list_transform(semantic_embeddings, lambda x: x::DOUBLE) AS v FROM feature_store
+  WHERE record_id IS NOT NULL AND len(semantic_embeddings) = 64 AND len(list_filter(semantic_embeddings, lambda x: x IS NULL OR CAST(x AS VARCHAR) = 'nan')) = 0 AND list_max(list_transform(semantic_embeddings, lambda x: abs(x))) > 0),
+c AS (SELECT a.record_id AS id, b.record_id AS neighbour, CASE WHEN a.v = b.v THEN 1.0::DOUBLE ELSE round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 9) END AS s FROM u a JOIN u b ON a.record_id <> b.record_id),
+r AS (SELECT id, neighbour, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour) AS rank FROM c)
+SELECT id, neighbour, rank::INTEGER AS rank, round(s, 6) AS cosine FROM r WHERE rank <= 5""",
         "p5_found": r"""
 WITH v AS (SELECT DISTINCT project AS value, lower(regexp_replace(project, '[^A-Za-z0-9]+', '', 'g')) AS name FROM function_records WHERE project <> '')
 SELECT a.value AS project_a, b.value AS project_b FROM v a JOIN v b ON a.name = b.name AND a.value < b.value WHERE a.name <> ''""",

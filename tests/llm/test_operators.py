@@ -31,6 +31,22 @@ def test_copies(spark):
     assert rows_of(records.copies(df.limit(0), "row_id", "code")) == set()
 
 
+def test_trees_of_any_depth_and_without_an_end():
+    deep = "{ .a = " * 10_000 + "1" + ", .b = 2 }" * 10_000
+    assert records.tree(deep) == records.tree(deep.upper().replace(" ", "\n")) and len(records.tree(deep)[1]) > 30_000
+    assert records.tree("{ .a = 1, " * 100_000)[1] == b"a1" * 100_000
+    nested = "x = { .q = { .m = 1, .k = 2 }, .p = f(1, 2) };"
+    assert records.tree(nested) == records.tree("X={.p=f(1,2),.q={.k=2,.m=1,}}") != records.tree("x = { .q = { .m = 2, .k = 1 }, .p = f(1, 2) };")
+    for hostile in ("{ .a = 1, " + '"' + '\\"' * 50_000, "{ .a = 1, " + "/*" * 50_000, "{" + "." * 100_000, "{._" + "_" * 100_000, "{ .a = 1, “" * 20_000):
+        assert records.tree(hostile)[1] == records.leaf(hostile)
+
+
+def test_copies_in_one_hot_group(spark):
+    df = spark.range(6000).selectExpr("id as row_id", "if(id % 10 < 9, concat('Hot ', repeat(' ', int(id % 7)), '1;'), concat('t', int(id / 20))) as code")
+    found = records.copies(df, "row_id", "code")
+    assert found.where("row_id_first = 0").count() == 5399 and found.count() == 5399 + 300
+
+
 def edit(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -79,17 +95,45 @@ def test_nearest(spark, copies):
     assert good / len(found) > 0.95
 
 
+@pytest.mark.parametrize("kind", ["gauss", "low rank", "clusters"])
+def test_recall_off_the_planted_data(spark, kind):
+    rng = np.random.default_rng(1)
+    n = 4000
+    x = {"gauss": lambda: rng.normal(size=(n, 64)), "low rank": lambda: rng.normal(size=(n, 8)) @ rng.normal(size=(8, 64)) + 0.1 * rng.normal(size=(n, 64)), "clusters": lambda: rng.normal(size=(40, 64))[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, 64))}[kind]()
+    df = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x.astype(np.float32))], "record_id string, e array<float>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = {(i, j) for i, row in enumerate(np.argpartition(-s, 4, axis=1)[:, :5]) for j in row}
+    found = {(int(r.id), int(r.neighbour)) for r in neighbours.nearest(df, "record_id", "e").collect()}
+    assert len(found & true) / len(true) >= 0.95
+    few = df.limit(600)
+    exact = {(int(r.id), int(r.neighbour)) for r in neighbours.nearest(few, "record_id", "e", settings=neighbours.Settings(exact=True)).collect()}
+    ids = sorted({i for i, _ in exact})
+    part = s[np.ix_(ids, ids)]
+    assert exact == {(ids[i], ids[j]) for i, row in enumerate(np.argpartition(-part, 4, axis=1)[:, :5]) for j in row}
+
+
+def test_broadcast_index_needs_no_package_on_workers():
+    import pickle
+    import sys
+
+    x = np.random.default_rng(0).normal(size=(200, 64)).astype(np.float32)
+    index = tuple(neighbours.fit(neighbours._unit(x), 200, 5, neighbours.Settings()))
+    assert not any(type(part).__module__.startswith("faultline") for part in index) and b"faultline" not in pickle.dumps(index) and sys.modules["faultline"]
+
+
 def test_nearest_of_nothing(spark):
     assert neighbours.nearest(spark.createDataFrame([], "record_id string, e array<float>"), "record_id", "e").count() == 0
 
 
-def test_nearest_among_copies_of_few_vectors(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "MAX_SAMPLE", 64)  # as with millions of rows
+def test_nearest_among_copies_of_few_vectors(spark):
+    few = neighbours.Settings(sample=64)  # as with millions of rows
     rng = np.random.default_rng(4)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((8, 64)))], "g long, e array<float>")
     df = spark.range(20_000).withColumn("g", F.col("id") % 8).join(F.broadcast(vectors), "g").select(F.col("id").cast("string").alias("record_id"), "e", "g")
     for some in (df, df.where("g = 3")):
-        found = neighbours.nearest(some, "record_id", "e").groupBy("id").agg(F.count("*").alias("n"), F.min("cosine").alias("least"))
+        found = neighbours.nearest(some, "record_id", "e", settings=few).groupBy("id").agg(F.count("*").alias("n"), F.min("cosine").alias("least"))
         assert found.where("n = 5 and least > 0.999").count() == some.count()
 
 
@@ -148,7 +192,7 @@ def test_spam(spark):
     rows += [(100 + i, f"cheap deal laptop{i} | " * 30) for i in range(8)] + [(200 + i, " ".join(f"https://www.a{k}.example/x{i}" for k in range(30))) for i in range(8)]
     rows += [(300 + i, "\n".join(f"SKU:B{k}5550 best hosting {i} €748.52" for k in range(20))) for i in range(8)] + [(400, None), (401, ""), (402, "9" * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id for r in spam.spam_pages(df, "doc_id", "text").where("score >= 0.5 and run_share > 0.5").collect()}
+    found = {r.doc_id for r in spam.spam_pages(df, "doc_id", "text").where("score >= 0.5").collect()}
     assert found == {i for i, _ in rows if 100 <= i < 400}
     assert spam.spam_pages(df.limit(0), "doc_id", "text").count() == 0
 
@@ -191,7 +235,7 @@ def test_spam_of_one_class(spark):
     rows = [(1, "cheap laptop | fast mug | " * 6 + "\n" + prose), (2, "cheap laptop | fast mug"), (3, prose + "I read the loop line by line and still can't see how it could overrun the buffer.")]
     for ids in ((1,), (1, 2), (1, 3), (2, 3), (1, 2, 3)):
         df = spark.createDataFrame([r for r in rows if r[0] in ids], "doc_id long, text string")
-        assert {r.doc_id for r in spam.spam_pages(df, "doc_id", "text").where("score >= 0.5 and run_share > 0.5").collect()} == {i for i in ids if i < 3}
+        assert {r.doc_id for r in spam.spam_pages(df, "doc_id", "text").where("score >= 0.5").collect()} == {i for i in ids if i < 3}
 
 
 def test_unreachable_sources_come_from_the_mix(spark, monkeypatch):
