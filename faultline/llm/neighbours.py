@@ -16,15 +16,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.workspace import join_groups, materialize
 
-#: Vectors of a list that meet in one task with as many queries as ASKED, at most; a longer list is cut into parts.
-PART, ASKED = 4096, 65_536
-#: Vectors that are searched by brute force to measure recall when an index is fitted.
+#: Lists that lie near each other share a task, so that a query is sent once for most lists it asks; at least so many tasks.
+BLOCKS = 64
+#: Vectors that meet in one task with as many queries as ASKED, about; a larger block is cut into parts, each of which sees all its queries.
+PART, ASKED = 32_768, 65_536
+#: Vectors that are searched by brute force in the whole collection, to measure recall when an index is fitted.
 PROBED = 512
 #: Cosines above this matter; it sets the weight of the parallel error.
 THRESHOLD = 0.2
@@ -39,8 +42,9 @@ class Settings(NamedTuple):
     the collection; where ``lists`` stops it (at 17 million vectors), lists grow
     instead, so larger collections should have more of both, as far as the
     driver's memory goes.  ``recall`` is what the lists asked and the candidates
-    ranked again must each reach on held-out vectors of the sample; both numbers
-    are doubled until they do, up to all.  ``exact`` compares all with all, in blocks.
+    ranked again must each reach for some vectors, whose neighbours are found by
+    brute force in the whole collection; both numbers grow until they do, up to
+    all.  ``exact`` compares all with all, in blocks.
     """
 
     sample: int = 65_536
@@ -52,12 +56,13 @@ class Settings(NamedTuple):
 class Index(NamedTuple):
     centres: np.ndarray  # lists x dims
     books: np.ndarray  # pairs of dimensions x 16 x 2
-    parts: np.ndarray  # parts of each list's vectors
-    shifts: np.ndarray  # parts of each list's queries
+    block: np.ndarray  # the block of each list
+    parts: np.ndarray  # parts of each block's vectors
+    shifts: np.ndarray  # parts of each block's queries
     weight: float  # of the parallel error, less 1
     probes: int  # lists a vector asks
     rerank: int  # candidates of a list that are ranked by the exact cosine, for each query
-    found: float  # recall on held-out vectors
+    found: float  # recall measured
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -134,69 +139,107 @@ def _fit_books(x: np.ndarray, residual: np.ndarray, weight: float, rng: np.rando
     return books
 
 
-def fit(sample: np.ndarray, total: int, k: int, settings: Settings, seed: int = 7) -> Index:
-    """An index for ``total`` vectors, fitted on unit vectors ``sample``."""
+def fit(sample: np.ndarray, total: int, k: int, settings: Settings, asked: np.ndarray | None = None, near: np.ndarray | None = None, seed: int = 7) -> Index:
+    """An index for ``total`` vectors, fitted on unit vectors ``sample`` and on the neighbours ``near`` (queries x k vectors) of some queries; if not given, on neighbours within the sample."""
     rng = np.random.default_rng(seed)
     dims = sample.shape[1]
     if settings.exact:
         parts = max(1, math.ceil(total / PART))
-        return Index(np.zeros((1, dims), np.float32), np.zeros((dims // 2, 16, 2), np.float32), np.array([parts]), np.array([max(1, math.ceil(total / ASKED))]), 0.0, 1, total, 1.0)
+        return Index(np.zeros((1, dims), np.float32), np.zeros((dims // 2, 16, 2), np.float32), np.zeros(1, np.int32), np.array([parts]), np.array([max(1, math.ceil(total / ASKED))]), 0.0, 1, total, 1.0)
     lists = max(1, min(settings.lists, int(2 * math.sqrt(total)), len(sample) // 8 or 1))
     centres = _kmeans(sample, lists, rng)
     weight = max(1.0, (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)) - 1
     few = sample[rng.choice(len(sample), min(len(sample), 16_384), replace=False)]
     books = _fit_books(few, few - centres[_nearest(few, centres, 1)[:, 0]], weight, rng)
     at = _nearest(sample, centres, 1)[:, 0]
-    probes, rerank, found = _tune(sample, at, centres, books, weight, total, k, settings.recall, rng)
-    share = np.bincount(at, minlength=lists) / len(sample)
-    asked = np.bincount(_nearest(few, centres, probes).ravel(), minlength=lists) / len(few)
+    if asked is None:
+        asked = sample[rng.choice(len(sample), min(PROBED, len(sample)), replace=False)]
+        score = asked @ sample.T
+        score[score > 1 - 1e-6] = -2
+        near = sample[np.argsort(-score, axis=1)[:, :k]]
+    probes, rerank, found = _tune(sample, at, centres, books, weight, total, asked, near, settings.recall)
+    blocks = min(lists, max(BLOCKS, total // PART))
+    block = _nearest(centres, _kmeans(centres, blocks, rng), 1)[:, 0]
+    share = np.bincount(block[at], minlength=blocks) / len(sample)
+    rows = np.repeat(np.arange(len(few)), probes)
+    pairs = np.unique(rows * blocks + block[_nearest(few, centres, probes).ravel()]) % blocks
+    asked = np.bincount(pairs, minlength=blocks) / len(few)
     count = lambda x, size: np.maximum(1, np.ceil(x * total / size)).astype(np.int32)
-    return Index(centres, books, count(share, PART), count(asked, ASKED), weight, probes, rerank, found)
+    return Index(centres, books, block.astype(np.int32), count(share, PART), count(asked, ASKED), weight, probes, rerank, found)
 
 
-def _tune(x, at, centres, books, weight, total: int, k: int, target: float, rng) -> tuple[int, int, float]:
-    """The lists to ask and the candidates to rank again that find ``target`` of the neighbours that brute force finds within the sample.
-
-    The collection is denser than its sample, so that a query's neighbours in
-    it are nearer, and its lists hold more: candidates are scaled to that.
-    """
-    chosen = rng.choice(len(x), min(PROBED, len(x)), replace=False)
-    k = min(k, len(x) - 1)
-    if k < 1 or len(centres) == 1:
+def _tune(x, at, centres, books, weight, total: int, asked, near, target: float) -> tuple[int, int, float]:
+    """The lists to ask and the candidates of a list to rank again that find ``target`` of the neighbours ``near`` of the queries ``asked``."""
+    if not near.size or len(centres) == 1:
         return 1, 40, 1.0
-    score = x[chosen] @ x.T
-    score[np.arange(len(chosen)), chosen] = -2
-    true = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    ranked = _nearest(x[chosen], centres, len(centres))
+    flat = near.reshape(-1, near.shape[2])
+    home = _nearest(flat, centres, 1)[:, 0].reshape(near.shape[:2])
+    ranked = _nearest(asked, centres, len(centres))
     place = np.empty_like(ranked)
-    np.put_along_axis(place, ranked, np.arange(len(centres), dtype=np.int32)[None].repeat(len(chosen), 0), 1)
-    needed = np.take_along_axis(place, at[true], 1) + 1  # lists to ask until a neighbour's is among them
+    np.put_along_axis(place, ranked, np.arange(len(centres), dtype=np.int32)[None].repeat(len(asked), 0), 1)
+    needed = np.take_along_axis(place, home, 1) + 1  # lists to ask until a neighbour's is among them
     probes = 1
     while probes < len(centres) and (needed <= probes).mean() < target:
         probes = min(probes + (probes // 2 or 1), len(centres))
-    # the place that the codes give a neighbour among the vectors of its list
+    # how many of a neighbour's list mates the codes put before it; the sample's are a part of them
     codes = encode(x, x - centres[at], books, weight)
+    own = encode(flat, flat - centres[home.ravel()], books, weight).reshape(*near.shape[:2], -1)
     order, starts = np.argsort(at, kind="stable"), np.searchsorted(np.sort(at), np.arange(len(centres) + 1))
-    behind = np.empty(true.shape)
+    behind = np.empty(home.shape)
     pair = np.arange(len(books))
-    for i, q in enumerate(x[chosen]):
+    for i, q in enumerate(asked):
         table = np.einsum("pcd,pd->pc", books, q.reshape(-1, 2))
-        for j, n in enumerate(true[i]):
-            mates = order[starts[at[n]] : starts[at[n] + 1]]
-            near = table[pair, codes[mates]].sum(1)
-            behind[i, j] = (near > near[mates == n][0]).sum()
-    scale = max(1.0, total / len(x)) ** 0.5
+        for j, one in enumerate(home[i]):
+            mates = order[starts[one] : starts[one + 1]]
+            behind[i, j] = (table[pair, codes[mates]].sum(1) > table[pair, own[i, j]].sum()).sum()
+    behind *= max(1.0, total / len(x))
     rerank = 40
-    while rerank < total and (behind * scale < rerank).mean() < target:
+    while rerank < total and (behind < rerank).mean() < target:
         rerank *= 2
-    return probes, rerank, float(((needed <= probes) & (behind * scale < rerank)).mean())
+    return probes, rerank, float(((needed <= probes) & (behind < rerank)).mean())
+
+
+def _brute(queries, names: list[str], k: int):
+    """The ``k`` nearest vectors of a task's rows for each query: ``q, id, v, cosine``."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = queries.value
+        dims = asked.shape[1]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
+            ids = np.array(batch.column("id").to_pylist(), object)
+            score = asked @ x.T
+            score[ids[None, :] == np.array(names, object)[:, None]] = -2
+            few = min(k, score.shape[1])
+            top = np.argpartition(-score, few - 1, axis=1)[:, :few] if few < score.shape[1] else np.broadcast_to(np.arange(few), score.shape)
+            q = np.repeat(np.arange(len(asked)), few)
+            cosine = np.take_along_axis(score, top, 1).ravel()
+            real = cosine > -2
+            at = top.ravel()[real]
+            yield pa.RecordBatch.from_arrays([pa.array(q[real], pa.int32()), pa.array(ids[at], pa.string()), pa.array([r.tobytes() for r in x[at]], pa.binary()), pa.array(cosine[real].astype(np.float64))], ["q", "id", "v", "cosine"])
+
+    return search
+
+
+def _true_neighbours(reps: DataFrame, ids: list[str], asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The queries and their ``k`` nearest vectors in all of ``reps``: a scan of the collection that keeps a few vectors of each batch."""
+    queries = reps.sparkSession.sparkContext.broadcast(asked)
+    found = reps.select("id", "v").mapInArrow(_brute(queries, ids, k), "q int, id string, v binary, cosine double")
+    best = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
+    table = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).orderBy("q", "nth").select("q", "v").toArrow()  # at most k for each query
+    q, v = table.column("q").to_numpy(), np.frombuffer(b"".join(table.column("v").to_pylist()), np.float32).reshape(-1, asked.shape[1])
+    least = np.bincount(q, minlength=len(asked)).min() if len(q) else 0
+    first = np.searchsorted(q, np.arange(len(asked)))
+    return asked, v[first[:, None] + np.arange(least)[None]] if least else np.empty((len(asked), 0, asked.shape[1]), np.float32)
 
 
 def _spread(index, dims: int):
-    """Rows of data (once for each part of their list's queries) and of queries (once for each list asked and part of it)."""
+    """Rows of data (once for each part of their block's queries) and of queries (once for each part of the blocks that hold lists they ask)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, books, parts, shifts, weight, probes, _, _ = index.value
+        centres, books, block, parts, shifts, weight, probes, _, _ = index.value
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -206,44 +249,66 @@ def _spread(index, dims: int):
             x = _unit(raw)
             near = _nearest(x, centres, probes)
             codes = encode(x, x - centres[near[:, 0]], books, weight) if len(centres) > 1 else np.zeros((n, dims // 2), np.uint8)
+            codes = codes[:, ::2] << 4 | np.pad(codes[:, 1::2], ((0, 0), (0, codes.shape[1] % 2)))  # two in a byte
             vectors = pa.array([r.tobytes() for r in raw], pa.binary())
             mark = np.arange(n) * 2654435761 + np.frombuffer(raw.tobytes(), np.uint32).reshape(n, dims)[:, 0]
-            home = near[:, 0]
-            yield _rows(home, mark % parts[home], shifts[home], True, ids, vectors, pa.array([r.tobytes() for r in codes], pa.binary()))
-            lists, row = near.ravel(), np.repeat(np.arange(n), near.shape[1])
+            home = block[near[:, 0]]
+            own = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32), pa.array(near[:, 0], pa.int32()))
+            yield _rows(home, mark % parts[home], shifts[home], True, ids, vectors, pa.array([r.tobytes() for r in codes], pa.binary()), own)
+            row, lists = np.repeat(np.arange(n), near.shape[1]), near.ravel()
+            order = np.lexsort((block[lists], row))
+            row, lists = row[order], lists[order]
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[lists[1:]] != block[lists[:-1]])])
+            asked = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)], pa.int32()), pa.array(lists, pa.int32()))
+            row, to = row[starts], block[lists[starts]]
             take = pa.array(row)
-            yield _rows(lists, mark[row] // 7 % shifts[lists], parts[lists], False, ids.take(take), vectors.take(take), pa.nulls(len(row), pa.binary()))
+            yield _rows(to, mark[row] // 7 % shifts[to], parts[to], False, ids.take(take), vectors.take(take), pa.nulls(len(row), pa.binary()), asked)
 
     return spread
 
 
-def _rows(lists, own, times, data: bool, ids, vectors, codes) -> pa.RecordBatch:
-    """Every row ``times`` over: with its own place on one side of the list's blocks, and every place on the other."""
-    row = np.repeat(np.arange(len(lists)), times)
+def _rows(blocks, own, times, data: bool, *columns) -> pa.RecordBatch:
+    """Every row ``times`` over: with its own place on one side of the block, and every place on the other."""
+    row = np.repeat(np.arange(len(blocks)), times)
     other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
     part, shift = (own[row], other) if data else (other, own[row])
     take = pa.array(row)
-    return pa.RecordBatch.from_arrays([pa.array(lists[row], pa.int32()), pa.array(part, pa.int32()), pa.array(shift, pa.int32()), ids.take(take), vectors.take(take), codes.take(take)], ["list", "part", "shift", "id", "v", "code"])
+    return pa.RecordBatch.from_arrays([pa.array(blocks[row], pa.int32()), pa.array(part, pa.int32()), pa.array(shift, pa.int32()), *(c.take(take) for c in columns)], ["block", "part", "shift", "id", "v", "code", "lists"])
 
 
 def _scan(index, dims: int, k: int):
-    def scan(block: pa.Table) -> pa.Table:
-        books, rerank = index.value[1], index.value[6]
-        is_data = np.asarray(block.column("code").is_valid())
-        data, asked = block.filter(pa.array(is_data)).sort_by("id"), block.filter(pa.array(~is_data))
-        out = ([], [], [])
+    def scan(table: pa.Table) -> pa.Table:
+        books, rerank = index.value[1], index.value[7]
+        is_data = np.asarray(table.column("code").is_valid())
+        data, asked = table.filter(pa.array(is_data)).sort_by("id"), table.filter(pa.array(~is_data))
+        ones, twos, scores = [], [], []
         if data.num_rows and asked.num_rows:
             x = np.frombuffer(b"".join(data.column("v").to_pylist()), np.float32).reshape(-1, dims)
-            codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(-1, dims // 2)
+            packed = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+            codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(x), -1)[:, : dims // 2]
             q = np.frombuffer(b"".join(asked.column("v").to_pylist()), np.float32).reshape(-1, dims)
-            names, askers = np.array(data.column("id").to_pylist(), object), np.array(asked.column("id").to_pylist(), object)
-            for a in range(0, len(q), 1024):
-                at, who, score = _best(x, codes, q[a : a + 1024], books, k + 1, rerank)
-                one, two = askers[a : a + 1024][who], names[at]
-                other = one != two
-                out[0].append(one[other]), out[1].append(two[other]), out[2].append(score[other])
-        flat = [np.concatenate(o) if o else [] for o in out]
-        return pa.Table.from_arrays([pa.array(flat[0], pa.string()), pa.array(flat[1], pa.string()), pa.array(flat[2], pa.float64())], ["id", "neighbour", "cosine"])
+            home = data.column("lists").combine_chunks().flatten().to_numpy()
+            wanted = asked.column("lists").combine_chunks()
+            asker = np.repeat(np.arange(len(q)), wanted.value_lengths().to_numpy())
+            wanted = wanted.flatten().to_numpy()
+            for one in np.unique(home):
+                mine, theirs = np.flatnonzero(home == one), asker[wanted == one]
+                step = max(16, min(1024, (1 << 23) // len(mine)))
+                for a in range(0, len(theirs), step):
+                    some = theirs[a : a + step]
+                    at, who, score = _best(x[mine], codes[mine], q[some], books, k + 1, rerank)
+                    ones.append(some[who]), twos.append(mine[at]), scores.append(score)
+        if not ones:
+            return pa.Table.from_arrays([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())], ["id", "neighbour", "cosine"])
+        one, two, score = np.concatenate(ones), np.concatenate(twos), np.concatenate(scores)
+        names, askers = data.column("id").combine_chunks(), asked.column("id").combine_chunks()
+        # of all lists, the best for each query
+        order = np.lexsort((two, -score, one))
+        one, two, score = one[order], two[order], score[order]
+        first = np.maximum.accumulate(np.where(np.r_[True, one[1:] != one[:-1]], np.arange(len(one)), 0))
+        keep = np.arange(len(one)) - first <= k
+        out = pa.Table.from_arrays([askers.take(pa.array(one[keep])), names.take(pa.array(two[keep])), pa.array(score[keep])], ["id", "neighbour", "cosine"])
+        return out.filter(pc.not_equal(out.column("id"), out.column("neighbour")))
 
     return scan
 
@@ -309,13 +374,15 @@ def nearest(df: DataFrame, record_id: str, vector: str, dims: int = 64, k: int =
         reps = join_groups(rows, many, ["k1", "k2"], "n", n_rows, "left").where("first is null or id = first").drop("first", "n").dropDuplicates(["id", "k1", "k2"])
     want = min(settings.sample, max(16_384, 32 * int(2 * math.sqrt(total))))
     chance = F.pmod(F.xxhash64(F.lit("sample"), "id", "k1"), F.lit(1 << 30)) < int(min(1.0, want / total) * (1 << 30))
-    sample = reps.where(chance).select("v").toArrow().column("v").combine_chunks()
-    if len(sample) * 2 < min(want, total):  # can't happen but for a poor hash; an index of a handful finds little
-        sample = reps.select("v").limit(want).toArrow().column("v").combine_chunks()
-    x = _unit(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
-    index = spark.sparkContext.broadcast(tuple(fit(x, total, k, settings)))  # plain arrays: tasks need no class of this package
-    spread = reps.select("id", "v").mapInArrow(_spread(index, dims), "list int, part int, shift int, id string, v binary, code binary")
-    hits = spread.groupBy("list", "part", "shift").applyInArrow(_scan(index, dims, k), "id string, neighbour string, cosine double")
+    sample = reps.where(chance).select("id", "v").toArrow().combine_chunks()
+    if sample.num_rows * 2 < min(want, total):  # can't happen but for a poor hash; an index of a handful finds little
+        sample = reps.select("id", "v").limit(want).toArrow().combine_chunks()
+    x = _unit(sample.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
+    some = np.random.default_rng(3).permutation(len(x))[:PROBED]
+    true = (None, None) if settings.exact else _true_neighbours(reps, [sample.column("id")[int(i)].as_py() for i in some], x[some], k)
+    index = spark.sparkContext.broadcast(tuple(fit(x, total, k, settings, *true)))  # plain arrays: tasks need no class of this package
+    spread = reps.select("id", "v").mapInArrow(_spread(index, dims), "block int, part int, shift int, id string, v binary, code binary, lists array<int>")
+    hits = spread.groupBy("block", "part", "shift").applyInArrow(_scan(index, dims, k), "id string, neighbour string, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return _with_copies(hits, rows, many, n_rows, k) if copies else hits
