@@ -42,14 +42,18 @@ _BREAK = r"[|;,•·>]++|\s[-*/]++(?:\s|$)|\. |。"
 _PLAIN = r"^[\p{L}\p{M}\p{N} \t._'’-]*[\p{L}\p{M}\p{N}]$"
 _LONG_HAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{6}"
 #: Words that make a short piece of text part of a sentence rather than a keyword.
-_FUNCTION = r"(?iu)(?<![\p{L}])(the|a|an|of|in|on|at|to|is|are|was|be|if|when|not|before|after|without|der|die|das|ein|eine|im|dem|den|le|la|les|un|une|dans|el|los|una|en)(?![\p{L}])"
+FUNCTION_WORDS = "the a an of in on at to is are was be if when not before after without der die das ein eine im dem den le la les un une dans el los una en".split()
 #: More words of sentences, in more languages, that a piece of more words than a keyword is told by.
-_SENTENCE = (
-    r"(?iu)(?<![\p{L}])(and|or|but|that|this|these|it|its|i|we|you|they|has|have|had|were|been|can|could|should|would|will|may|must|do|does|did|by|from|as|than|then|so|which|who"
-    r"|und|oder|aber|nicht|ist|sind|war|wird|mit|von|für|auf|bei|zu|zum|zur|des|ich|wir|sie|es|er|dass|wenn|als|et|ou|mais|que|qui|est|sont|du|de|à|au|aux|pour|par|sur|avec|pas|il|elle|nous|ce|cette"
-    r"|y|o|pero|son|del|al|por|para|con|se|no|lo|su|e|em|não|um|uma|do|da|dos|das|os|as|ao|и|в|во|на|не|но|что|как|с|со|к|по|из|за|от|о|об|у|а|при|если|или|так|хотя|потому|когда|после|он|она|они|мы|это"
-    r"|gli|di|che|è|per|non|w|z|się|nie|że|jest|het|een|van|niet|och|att|som|är|ve|bir|bu|và|của|là|không)(?![\p{L}])"
-)
+SENTENCE_WORDS = (
+    "and or but that this these it its i we you they has have had were been can could should would will may must do does did by from as than then so which who "
+    "und oder aber nicht ist sind war wird mit von für auf bei zu zum zur des ich wir sie es er dass wenn als et ou mais que qui est sont du de à au aux pour par sur avec pas il elle nous ce cette "
+    "y o pero son del al por para con se no lo su e em não um uma do da dos das os as ao и в во на не но что как с со к по из за от о об у а при если или так хотя потому когда после он она они мы это "
+    "gli di che è per non w z się nie że jest het een van niet och att som är ve bir bu và của là không"
+).split()
+_FUNCTION = rf"(?iu)(?<![\p{{L}}])(?:{'|'.join(FUNCTION_WORDS)})(?![\p{{L}}])"
+_SENTENCE = rf"(?iu)(?<![\p{{L}}])(?:{'|'.join(SENTENCE_WORDS)})(?![\p{{L}}])"
+#: Words of C.
+CODE_WORDS = "int char void return struct if for while null const static".split()
 #: A line that holds the end of a sentence.
 _ENDED = r"[.!?。！？…](?:[\s\"'»”)]|$)"
 #: A piece that stands so often on a page, in whatever order of its words, is repeated.
@@ -74,7 +78,7 @@ TOP = 12
 
 #: What the trees see: none of it counts runs.
 FEATURES = (
-    "function_share urls commas colons hashes distinct_share top_share capitals ended_lines word_length code_words anchors separators sentences code_signs digit_share table_share han_share log_words words_a_line"
+    "function_share urls commas colons hashes distinct_share capitals ended_lines word_length code_words anchors separators sentences code_signs digit_share table_share han_share log_words words_a_line"
 ).split()
 
 
@@ -135,7 +139,7 @@ def page_features(df: DataFrame, text: str) -> DataFrame:
     for name, sign in _ENTITIES:
         clean = F.replace(clean, F.lit(name), F.lit(sign))
     rows = spread(df).withColumn("_t", repaired(F.col(text))).withColumn("_t", clean)
-    rows = rows.withColumn("n_words", _words(F.col("_t"))).where("n_words > 0")
+    rows = rows.withColumn("_all", F.regexp_extract_all(F.lower("_t"), F.lit(_WORD), F.lit(0))).withColumn("n_words", F.size("_all")).where("n_words > 0")
     n = F.col("n_words")
     links = F.regexp_extract_all("_t", F.lit(_LINK), F.lit(0))
     rows = rows.withColumn("_links", links).withColumn("_rest", F.regexp_replace("_t", _LINK, "\n"))
@@ -169,33 +173,32 @@ def page_features(df: DataFrame, text: str) -> DataFrame:
             "keyword_share": share(F.col("_again") + F.when(F.col("_most") | (F.size("_units") >= 8), F.col("_other_words")).otherwise(total(F.filter("_others", lambda u: u["kind"] == "soup")))),
         }
     )
-    rows = rows.withColumns(content_features(F.col("_t"), n)).withColumn("table_share", share(_words(F.array_join("_table", " "))))
+    rows = rows.withColumns(content_features(F.col("_t"), F.col("_all"), n)).withColumn("table_share", share(_words(F.array_join("_table", " "))))
     host = F.regexp_extract_all(F.lower("_t"), F.lit(rf"(?<![\p{{L}}\p{{M}}\p{{N}}.-]){_HOST}(?=/|:\d|\s|$)"), F.lit(0))
     # an address's host by its last two labels, so that its subdomains count together
     hosts = F.array_distinct(F.transform(F.when(F.size("_links") > 0, host).otherwise(F.array().cast("array<string>")), lambda h: F.call_function("substring_index", h, F.lit("."), F.lit(-2))))
-    return rows.withColumn("_hosts", hosts).drop("_t", "_links", "_rest", "_tags", "_pairs", "_table", "_lines", "_keys", "_often", "_units", "_others", "_again", "_link_words", "_tag_words", "_other_words", "_pieces", "_most").withColumn("run_share", F.round(run_share(), 6))
+    return rows.withColumn("_hosts", hosts).drop("_t", "_all", "_links", "_rest", "_tags", "_pairs", "_table", "_lines", "_keys", "_often", "_units", "_others", "_again", "_link_words", "_tag_words", "_other_words", "_pieces", "_most").withColumn("run_share", F.round(run_share(), 6))
 
 
-def content_features(text: Column, n: Column) -> dict[str, Column]:
-    """What a text of ``n`` words looks like, without a look at runs."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+def content_features(text: Column, words: Column, n: Column) -> dict[str, Column]:
+    """What a text of ``n`` words (``words``: in lower case) looks like, without a look at runs."""
     rate = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
+    among = lambda known: F.size(F.filter(words, lambda w: w.isin(*known))) / n
     lines = F.regexp_count(text, F.lit(r"(?m)^."))
     return {
-        "function_share": rate(_FUNCTION) + rate(_SENTENCE),
+        "function_share": among({*FUNCTION_WORDS, *SENTENCE_WORDS}),
         "urls": rate(r"https?://|www\."),
         "commas": rate(r"[,;·•]"),
-        "colons": rate(r"[\p{L}\p{N}][ \t]?[:=][ \t]?[\p{L}\p{N}]"),
+        "colons": rate(r"[:=][ \t]?[\p{L}\p{N}]"),
         "hashes": rate(r"#\p{L}"),
         "distinct_share": F.size(F.array_distinct(words)) / n,
-        "top_share": _top_share(words),
         "capitals": rate(r"\p{Lu}"),
         "ended_lines": F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"(?m)[.!?:;{})][ \t]*+$")), lines), F.lit(0.0)),
-        "word_length": rate(r"[\p{L}\p{M}\p{N}]"),
-        "code_words": rate(r"\b(?:int|char|void|return|struct|if|for|while|NULL|const|static)\b"),
+        "word_length": F.aggregate(words, F.lit(0), lambda a, w: a + F.char_length(w)) / n,
+        "code_words": among(CODE_WORDS),
         "anchors": rate(r"</a>|\]\(|\[/url\]"),
-        "separators": rate(r"\s[-*/>→]+\s|[|;,•·]"),
-        "sentences": rate(r"[.!?。](?:\s|$)|。"),
+        "separators": rate(r"[|;,•·]|\s[-*/>→]+\s"),
+        "sentences": rate(r"[.!?](?:\s|$)|。"),
         "code_signs": rate(r"[{}()\[\]=<>&*;]"),
         "digit_share": rate(r"\p{N}++"),
         "han_share": F.regexp_count(text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")) / F.char_length(text),
