@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from faultline.plans import code, keys, scores
+from faultline.plans import code, keys, routing, scores
 
-MODULES = (code, keys, scores)
+MODULES = (code, keys, scores, routing)
 
 
 def queries() -> dict:
