@@ -10,7 +10,7 @@ EPS = 1e-6
 
 
 def clipped(p: Column) -> Column:
-    return F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), p))
+    return F.when(p.isNotNull(), F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), p)))
 
 
 def logit(p: Column) -> Column:

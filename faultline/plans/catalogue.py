@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from faultline.plans import code, keys, routing, scores
+from faultline.plans import code, keys, records, reports, routing, scores
 
-MODULES = (code, keys, scores, routing)
+MODULES = (code, keys, scores, routing, reports, records)
 
 
 def queries() -> dict:
