@@ -113,7 +113,8 @@ def classes(df: DataFrame, record_id: str, text: str, split: str, keep: tuple[st
 def near_classes(members: DataFrame, most: float = 0.1) -> DataFrame:
     """Pairs of different word sequences, one in training and one in evaluation, that differ by at most ``most`` in words.
 
-    Result: ``cls_t, cls_e, distance, containment`` (the share of the evaluation
+    Copies of each other that have different words are pairs, too, without a
+    distance.  Result: ``cls_t, cls_e, distance, containment`` (the share of the evaluation
     text's n-grams that the training text has, too).  The difference is the
     least number of words inserted, deleted or replaced, divided by the words of
     the longer text.  No pair is lost for ``most`` up to 0.1.
@@ -134,13 +135,14 @@ def near_classes(members: DataFrame, most: float = 0.1) -> DataFrame:
     hits = hits.where(F.col("nth") <= lost + 1 - (F.col("pieces") - F.col("found"))).select("gram", F.col("cls").alias("cls_t"), F.col("at").alias("at_t"), lost.alias("lost"))
     met = hits.join(slid.select("gram", F.col("cls").alias("cls_e"), F.col("at").alias("at_e")), "gram")
     met = met.where((F.col("cls_t") != F.col("cls_e")) & (F.abs(F.col("at_t") - F.col("at_e")) <= F.col("lost")))
-    pairs = met.select("cls_t", "cls_e").distinct()
+    pairs = met.select("cls_t", "cls_e", F.lit(False).alias("copy")).unionByName(_same_root(members).where("cls_t <> cls_e").withColumn("copy", F.lit(True)))
+    pairs = pairs.groupBy("cls_t", "cls_e").agg(F.max("copy").alias("copy"))
     pairs = pairs.join(train.select(F.col("cls").alias("cls_t"), F.col("chars").alias("t")), "cls_t").join(eval_.select(F.col("cls").alias("cls_e"), F.col("chars").alias("e")), "cls_e")
     wt, we = F.char_length("t"), F.char_length("e")
     edits = F.floor(F.greatest(wt, we) * F.lit(float(most))).cast("int")
-    pairs = pairs.withColumn("edits", edits).where(F.abs(wt - we) <= F.col("edits"))
+    pairs = pairs.withColumn("edits", edits).where(F.col("copy") | (F.abs(wt - we) <= F.col("edits")))
     # the built-in takes its threshold as a literal only, so it is applied by steps of the text's length
-    pairs = pairs.withColumn("distance", _edit_distance(F.col("t"), F.col("e"), F.col("edits"))).where("distance between 0 and edits")
+    pairs = pairs.withColumn("distance", F.when(~F.col("copy"), _edit_distance(F.col("t"), F.col("e"), F.col("edits")))).where("copy or distance between 0 and edits")
     return pairs.select("cls_t", "cls_e", "distance", F.round(_containment(F.col("e"), F.col("t")), 6).alias("containment"))
 
 
@@ -159,13 +161,23 @@ def _containment(part: Column, whole: Column) -> Column:
     return F.size(F.array_intersect(grams(part), grams(whole))) / F.size(grams(part))
 
 
-def class_links(members: DataFrame, most: float = 0.1) -> DataFrame:
-    """Linked classes ``cls_t, cls_e``: copies of each other, the same words, or near by :func:`near_classes`."""
+def _same_root(members: DataFrame) -> DataFrame:
     train, eval_ = (members.where(F.col("side") == s) for s in ("train", "eval"))
     t, e = train.select("root", F.col("cls").alias("cls_t")).distinct(), eval_.select("root", F.col("cls").alias("cls_e")).distinct()
-    same_root = t.join(e, "root").select("cls_t", "cls_e")
-    same_words = train.select(F.col("cls").alias("cls_t")).distinct().join(eval_.select(F.col("cls").alias("cls_e")).distinct(), F.col("cls_t") == F.col("cls_e"))
-    return same_root.unionByName(same_words).unionByName(near_classes(members, most).select("cls_t", "cls_e")).distinct()
+    return t.join(e, "root").select("cls_t", "cls_e")
+
+
+def class_links(members: DataFrame, most: float = 0.1) -> DataFrame:
+    """Linked classes ``cls_t, cls_e, distance, containment``: the same words (distance 0, containment 1), copies of each other, or near by :func:`near_classes`."""
+    both = members.groupBy("cls").agg(F.max(F.col("side") == "train").alias("t"), F.max(F.col("side") == "eval").alias("e")).where("t and e")
+    same_words = both.select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_e"), F.lit(0).alias("distance"), F.lit(1.0).alias("containment"))
+    return same_words.unionByName(near_classes(members, most))
+
+
+def containments(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Every pair of linked classes by its first records: ``record_id_train, record_id_eval, n_train, n_eval`` (records of each class), ``distance, containment``."""
+    named = lambda side, to: members.where(F.col("side") == side).groupBy(F.col("cls").alias(f"cls_{to[0]}")).agg(F.min("record_id").alias(f"record_id_{to}"), F.countDistinct("record_id").alias(f"n_{to}"))
+    return links.join(named("train", "train"), "cls_t").join(named("eval", "eval"), "cls_e").select("record_id_train", "record_id_eval", "n_train", "n_eval", "distance", "containment")
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.workspace import broadcast_if_small, materialize
+from faultline.workspace import join_groups, materialize
 
 #: A group that holds at least one of so many rows is dealt by itself; there are at most as many.
 HEAD = 1024
@@ -134,7 +134,7 @@ def assign_splits(df: DataFrame, targets: DataFrame, entity: str, label: str, al
     An empty input gives an empty result.
     """
     spark = df.sparkSession
-    shares = [(r.split_name, float(r.share)) for r in targets.where("split_name is not null and share > 0").groupBy("split_name").agg(F.sum("share").alias("share")).orderBy("split_name").limit(HEAD).collect()]
+    shares = [(r.split_name, float(r.share)) for r in targets.where("split_name is not null and share > 0").groupBy("split_name").agg(F.sum("share").alias("share")).orderBy("split_name").collect()]  # a handful of names
     if not shares:
         raise ValueError("no split has a share")
     whole = sum(s for _, s in shares)
@@ -142,8 +142,10 @@ def assign_splits(df: DataFrame, targets: DataFrame, entity: str, label: str, al
     labels, _ = spelling_groups(df, entity)
     own = F.concat(F.lit("\x01"), F.to_json(F.struct(*(F.col(c) for c in alone)), {"ignoreNullFields": "false"}))
     base = df.drop("split_name")
-    known = broadcast_if_small(labels, labels.count()).select(F.col("value").alias("_value"), F.col("root").alias("_root"))
-    rows = base.join(known, F.col(entity) == F.col("_value"), "left").withColumn("_unit", F.coalesce("_root", own)).drop("_value", "_root")
+    sizes = df.where(F.col(entity) != "").groupBy(F.col(entity).alias("value")).agg(F.count("*").alias("_n"))
+    known = materialize(labels.join(sizes, "value").select(F.col("value").alias("_value"), F.col("root").alias("_root"), "_n"))
+    rows = join_groups(base.withColumn("_value", F.nullif(F.col(entity), F.lit(""))), known, "_value", "_n", df.count(), "left")
+    rows = rows.withColumn("_unit", F.coalesce("_root", own)).drop("_value", "_root", "_n")
     units = materialize(rows.groupBy(F.col("_unit").alias("unit")).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("p")))
     total, positives = units.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("p"), F.lit(0))).first()
     band = F.floor(F.log2("n")).cast("int")
@@ -162,8 +164,7 @@ def assign_splits(df: DataFrame, targets: DataFrame, entity: str, label: str, al
     turn = F.row_number().over(Window.partitionBy("band", "rate", "part").orderBy(F.xxhash64(F.lit(seed + "/"), "unit"), "unit"))
     start = F.pmod(F.xxhash64(F.lit(seed), "band", "rate", "part"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     place = turn * F.lit(GOLDEN) + start
-    tail = tail.withColumn("place", place - F.floor(place)).select("unit", stretch.alias("split_name"))
-    first = spark.createDataFrame([(u, s) for u, s in dealt.items()], "unit string, split_name string")
-    deal = materialize(first.unionByName(tail))
-    deal = broadcast_if_small(deal, deal.count())
-    return rows.join(deal, F.col("_unit") == F.col("unit"), "left").drop("_unit", "unit")
+    tail = tail.withColumn("place", place - F.floor(place)).select("unit", stretch.alias("split_name"), "n")
+    first = spark.createDataFrame([(u, s) for u, s in dealt.items()], "unit string, split_name string").join(head.select("unit", "n"), "unit")
+    deal = materialize(first.unionByName(tail).select(F.col("unit").alias("_unit"), "split_name", F.col("n").alias("_n")))
+    return join_groups(rows, deal, "_unit", "_n", total, "left").drop("_unit", "_n")

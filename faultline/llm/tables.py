@@ -35,6 +35,12 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(members, overlap.class_links(members), ("split_name", "dataset"))
 
 
+def p3_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Linked texts of training and evaluation, each by its first record, with the share of the evaluation text's 5-grams that the training text holds."""
+    members = _members(spark, d)
+    return overlap.containments(members, overlap.class_links(members))
+
+
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "feature_store"), "record_id", "semantic_embeddings")
 
@@ -115,7 +121,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_copy_counts, p3_found, p3_report, p4_found, p4_neighbours, p4_exact, p5_found, p5_assignment, p5_report, p6_ids, p6_round_trip, p7_found, p7_uses, p7_report, p8_found, p8_scores)}
+    return {f.__name__: f for f in (p1_found, p1_copy_counts, p3_found, p3_report, p3_containment, p4_found, p4_neighbours, p4_exact, p5_found, p5_assignment, p5_report, p6_ids, p6_round_trip, p7_found, p7_uses, p7_report, p8_found, p8_scores)}
 
 
 _P1 = r"""

@@ -249,3 +249,22 @@ def test_unreachable_sources_come_from_the_mix(spark, monkeypatch):
     monkeypatch.setattr(tables, "table", lambda s, d, name: targets)
     monkeypatch.setattr(mixing, "mix", lambda *a: mixed.append(1) or mix(*a))
     assert rows_of(tables.p7_found(spark, "")) == {("b",)} and mixed
+
+
+def test_containment_of_linked_classes(spark):
+    words = [f"w{i}" for i in range(40)]
+    other = [*words[:20], "new", *words[21:]]
+    rows = [("t1", "train", words), ("t2", "train", words), ("e1", "val", words), ("e2", "test", other), ("e3", "test", ["x"] * 9)]
+    df = spark.createDataFrame([(i, s, " ".join(w)) for i, s, w in rows], "record_id string, split string, code string")
+    members = overlap.classes(df, "record_id", "code", "split")
+    got = {(r.record_id_train, r.record_id_eval): (r.n_train, r.n_eval, r.distance, r.containment) for r in overlap.containments(members, overlap.class_links(members)).collect()}
+    assert got == {("t1", "e1"): (2, 1, 0, 1.0), ("t1", "e2"): (2, 1, 1, round(31 / 36, 6))}
+
+
+def test_splits_with_a_hot_project_and_many_names(spark):
+    df = spark.range(5000).selectExpr("id as row_id", "concat('r', id) as record_id", "if(id % 10 < 4, 'Hot', if(id % 10 < 8, null, concat('p', id % 900))) as project", "int(id % 7 = 0) as label")
+    targets = spark.createDataFrame([("train", 0.7)] + [(f"s{i}", 0.3 / 30) for i in range(30)], "split_name string, share double")
+    got = splits.assign_splits(df, targets, "project", "label", ["record_id"])
+    rows = got.collect()
+    assert len(rows) == 5000 and all(r.split_name for r in rows) and got.columns == [*df.columns, "split_name"]
+    assert len({r.split_name for r in rows if r.project == "Hot"}) == 1 and len({r.split_name for r in rows}) > 20
