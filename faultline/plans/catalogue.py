@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from faultline.plans import code, keys, records, reports, routing, scores
+from faultline.plans import code, keys, records, reports, retrieval, routing, scores
 
-MODULES = (code, keys, scores, routing, reports, records)
+MODULES = (code, keys, scores, routing, reports, records, retrieval)
 
 
 def queries() -> dict:
