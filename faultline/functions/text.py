@@ -49,7 +49,12 @@ def sanitize_literals(x: Column) -> Column:
 
 
 def raw_tokens(code: Column) -> Column:
-    return F.regexp_extract_all(sanitize_literals(normalize_code(code)), F.lit(TOKEN), F.lit(0))
+    return raw_tokens_of(normalize_code(code))
+
+
+def raw_tokens_of(text: Column) -> Column:
+    """The same of a normalised text."""
+    return F.regexp_extract_all(sanitize_literals(text), F.lit(TOKEN), F.lit(0))
 
 
 def split_identifier(x: Column) -> Column:
@@ -61,6 +66,11 @@ def split_identifier(x: Column) -> Column:
 
 def tokens(code: Column) -> Column:
     """Normalised tokens: literals as str_lit and num_lit, keywords in lower case, identifiers in parts, operators as they are."""
+    return tokens_of(normalize_code(code))
+
+
+def tokens_of(text: Column) -> Column:
+    """The same of a normalised text."""
 
     def one(t: Column) -> Column:
         low = F.lower(t)
@@ -72,7 +82,7 @@ def tokens(code: Column) -> Column:
             .otherwise(split_identifier(t))
         )
 
-    return F.flatten(F.transform(raw_tokens(code), one))
+    return F.flatten(F.transform(raw_tokens_of(text), one))
 
 
 def skeleton(code: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import text as X
 
-LINES, NODES, EDGES, AST_TOKENS = 40, 72, 96, 512
+LINES, EDGES, AST_TOKENS = 40, 96, 512
 
 
 def node_type(line: Column) -> Column:
@@ -38,9 +38,9 @@ def with_statements(df: DataFrame, code: str) -> DataFrame:
         )
 
     rows = rows.withColumn("_stmts", F.transform("_lines", parts))
-    first = F.col("_params") + 2
-    before = lambda i: F.aggregate(F.slice(F.col("_stmts"), F.lit(1), i), F.lit(0), lambda a, s: a + 1 + F.size(s["calls"]))
-    rows = rows.withColumn("_stmts", F.transform("_stmts", lambda s, i: F.struct((first + before(i)).alias("id"), s["line"].alias("line"), s["type"].alias("type"), s["calls"].alias("calls"), s["uses"].alias("uses"), s["defs"].alias("defs"))))
+    # the id of each line, and of what would follow the last one
+    ids = F.aggregate("_stmts", F.array(F.col("_params") + 2), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + 1 + F.size(s["calls"]))))
+    rows = rows.withColumn("_stmts", F.get(F.transform(F.array(ids), lambda n: F.transform("_stmts", lambda s, i: F.struct(F.get(n, i).alias("id"), s["line"].alias("line"), s["type"].alias("type"), s["calls"].alias("calls"), s["uses"].alias("uses"), s["defs"].alias("defs")))), 0))
     return rows.drop("_text", "_lines")
 
 
@@ -61,13 +61,19 @@ def edges(df: DataFrame) -> DataFrame:
     called = F.flatten(F.transform("_stmts", lambda s: F.transform(s["calls"], lambda c, k: edge(s["id"], s["id"] + k + 1, "IS_AST_PARENT"))))
     flows = F.filter(F.transform("_stmts", lambda s, i: edge(s["id"], F.get(F.col("_stmts"), i + 1)["id"], "FLOWS_TO")), lambda e: e["target"].isNotNull())
 
-    def reaching(s: Column, i: Column) -> Column:
-        # a name's last definition on an earlier line; lines are at most LINES
-        last = lambda name: F.element_at(F.filter(F.slice(F.col("_stmts"), F.lit(1), i), lambda e: F.array_contains(e["defs"], name)), -1)
-        known = F.filter(s["uses"], lambda name: F.exists(F.slice(F.col("_stmts"), F.lit(1), i), lambda e: F.array_contains(e["defs"], name)))
-        return F.transform(known, lambda name: edge(last(name)["id"], s["id"], "REACHES"))
+    # every definition with its node; ids grow with lines, so the last earlier definition is the largest id below
+    defs = F.flatten(F.transform("_stmts", lambda s: F.transform(s["defs"], lambda name: F.struct(name.alias("name"), s["id"].alias("id")))))
 
-    reaches = F.flatten(F.transform("_stmts", reaching))
+    def reaching_of(d: Column) -> Column:
+        known = F.array_distinct(d["name"])
+
+        def reaching(s: Column) -> Column:
+            last = lambda name: F.array_max(F.transform(F.filter(d, lambda x: (x["name"] == name) & (x["id"] < s["id"])), lambda x: x["id"]))
+            return F.filter(F.transform(F.array_intersect(s["uses"], known), lambda name: edge(last(name), s["id"], "REACHES")), lambda e: e["source"].isNotNull())
+
+        return F.flatten(F.transform("_stmts", reaching))
+
+    reaches = F.get(F.transform(F.array(defs), reaching_of), 0)
     return df.withColumn("edges", F.sort_array(F.array_distinct(F.concat(params, method, called, flows, reaches))))
 
 

@@ -14,7 +14,7 @@ def _div(a: Column, b: Column) -> Column:
 
 def lexical_features(df: DataFrame, code: str) -> DataFrame:
     """``df`` with the twelve lexical features of ``code``. Everything is computed in place; null code counts as empty."""
-    rows = df.withColumn("_text", X.normalize_code(F.col(code))).withColumns({"_tokens": X.tokens(F.col(code)), "_calls": X.calls(F.col("_text"))})
+    rows = df.withColumn("_text", X.normalize_code(F.col(code))).withColumns({"_tokens": X.tokens_of(F.col("_text")), "_calls": X.calls(F.col("_text"))})
     n = F.greatest(F.size("_tokens"), F.lit(1))
     line_count, call_count = F.size(X.lines(F.col("_text"))), F.size("_calls")
     risky = F.size(F.filter("_calls", lambda c: F.lower(c).isin(*X.RISKY)))

@@ -44,7 +44,7 @@ def line_score(line: Column) -> Column:
 
     text = X.normalize_code(line)
     risky = F.filter(X.calls(text), lambda c: F.lower(c).isin(*X.RISKY))
-    return F.get(F.transform(F.array(F.struct(text.alias("x"), X.tokens(line).alias("t"), risky.alias("r"))), lambda s: build(s["x"], s["t"], s["r"])), 0)
+    return F.get(F.transform(F.array(F.struct(text.alias("x"), X.tokens_of(text).alias("t"), risky.alias("r"))), lambda s: build(s["x"], s["t"], s["r"])), 0)
 
 
 def top_lines(df: DataFrame, code: str, semantic: Column, graph: Column, fusion: Column, band: Column) -> DataFrame:
@@ -88,3 +88,20 @@ def slices(df: DataFrame, radius: int = 1) -> DataFrame:
         )
 
     return df.withColumn("slices", F.transform(kept, cut))
+
+
+def token_highlights(most: int = 8) -> Column:
+    """The most frequent identifier tokens of the top lines (of :func:`top_lines`), but for if, for, while and return; the first to appear where equal."""
+    every = F.filter(F.flatten(F.transform("top_lines", lambda t: X.tokens(t["code"]))), lambda x: x.rlike(r"^[A-Za-z_]\w*$") & ~x.isin("if", "for", "while", "return"))
+
+    def counted(ts: Column) -> Column:
+        rows = F.transform(F.array_distinct(ts), lambda x, i: F.struct((-F.size(F.filter(ts, lambda y: y == x))).alias("n"), i.alias("i"), x.alias("x")))
+        return F.slice(F.sort_array(rows), 1, most)["x"]
+
+    return F.get(F.transform(F.array(every), counted), 0)
+
+
+def slices_text(limit: int = 2200) -> Column:
+    """The slices (of :func:`slices`) written out, each under a line that tells score, lines and reasons; cut."""
+    one = lambda s: F.concat(F.format_string("Slice score=%.4f | lines %d-%d | reasons=", s["score"], s["start_line"], s["end_line"]), F.coalesce(F.nullif(F.array_join(s["reasons"], ","), F.lit("")), F.lit("n/a")), F.lit("\n"), s["text"])
+    return F.when(F.size("slices") > 0, X.truncate_text(F.array_join(F.transform("slices", one), "\n\n"), limit)).otherwise("No suspicious slices.")

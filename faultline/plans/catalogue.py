@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from faultline.plans import code, keys, records, reports, retrieval, routing, scores
+from faultline.plans import code, keys, models, records, reports, retrieval, routing, scores
 
-MODULES = (code, keys, scores, routing, reports, records, retrieval)
+MODULES = (code, keys, scores, routing, reports, records, retrieval, models)
 
 
 def queries() -> dict:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import text as X
-from faultline.operators import codegraph, features, localizer
+from faultline.operators import codegraph, features, localizer, runs
+from faultline.plans.scores import _LATEST, latest
 from faultline.workspace import spread, table
 
 
@@ -84,41 +85,87 @@ def q_ast_sequence(spark, d):
     return codegraph.ast_sequence(codegraph.with_statements(_code(spark, d), "code")).select("row_id", "ast_sequence")
 
 
-def q_graph_features(spark, d):
-    """The graph's twelve features; degrees are counted on the first 96 edges, as these are what is kept."""
-    rows = codegraph.with_statements(_code(spark, d), "code")
-    rows = codegraph.ast_sequence(codegraph.edges(codegraph.nodes(rows)))
-    share = lambda column, kind, part: F.round(F.coalesce(F.try_divide(F.size(F.filter(column, lambda x: x["type"] == kind)).cast("double"), F.size(column).cast("double")), F.lit(0.0)), 6).alias(part)
-    kept = F.transform(F.slice("edges", 1, codegraph.EDGES), lambda e: e["source"])
-    rows = rows.withColumn("_kept", kept).withColumn("_sources", F.array_distinct("_kept"))
+GRAPH = "backend_is_joern log_graph_nodes log_graph_edges graph_avg_degree graph_call_ratio graph_control_ratio graph_expression_ratio graph_cfg_ratio graph_ast_ratio graph_reaches_ratio graph_max_out_degree log_ast_token_count".split()
+
+
+def graph_features(rows: DataFrame, code: str) -> DataFrame:
+    """``rows`` with the graph's twelve features; degrees are counted on the first 96 edges, as these are what is kept."""
+    rows = codegraph.ast_sequence(codegraph.edges(codegraph.nodes(codegraph.with_statements(rows, code))))
+    share = lambda column, kind: F.coalesce(F.try_divide(F.size(F.filter(column, lambda x: x["type"] == kind)).cast("double"), F.size(column).cast("double")), F.lit(0.0))
+    rows = rows.withColumn("_kept", F.transform(F.slice("edges", 1, codegraph.EDGES), lambda e: e["source"])).withColumn("_sources", F.array_distinct("_kept"))
     degrees = F.transform("_sources", lambda s: F.size(F.filter("_kept", lambda x: x == s)))
-    return rows.select(
-        "row_id",
-        F.size("nodes").alias("n_nodes"),
-        F.size("edges").alias("n_edges"),
-        F.round(F.coalesce(F.try_divide(F.size("_kept").cast("double"), F.greatest(F.size("_sources"), F.lit(1)).cast("double")), F.lit(0.0)), 6).alias("avg_degree"),
-        share("nodes", "CALL", "call_ratio"),
-        share("nodes", "CONTROL_STRUCTURE", "control_ratio"),
-        share("nodes", "EXPRESSION", "expression_ratio"),
-        share("edges", "FLOWS_TO", "cfg_ratio"),
-        share("edges", "IS_AST_PARENT", "ast_ratio"),
-        share("edges", "REACHES", "reaches_ratio"),
-        F.coalesce(F.array_max(degrees), F.lit(0)).alias("max_out_degree"),
-        F.size(F.split("ast_sequence", " ")).alias("n_ast_tokens"),
+    values = (
+        F.lit(0.0),
+        F.log1p(F.size("nodes")),
+        F.log1p(F.size("edges")),
+        F.size("_kept").cast("double") / F.greatest(F.size("_sources"), F.lit(1)),
+        share("nodes", "CALL"),
+        share("nodes", "CONTROL_STRUCTURE"),
+        share("nodes", "EXPRESSION"),
+        share("edges", "FLOWS_TO"),
+        share("edges", "IS_AST_PARENT"),
+        share("edges", "REACHES"),
+        F.coalesce(F.array_max(degrees), F.lit(0)).cast("double"),
+        F.log1p(F.size(F.split("ast_sequence", " "))),
     )
+    return rows.withColumns(dict(zip(GRAPH, values, strict=True))).drop("_kept", "_sources")
+
+
+def q_graph_features(spark, d):
+    return graph_features(_code(spark, d), "code").select("row_id", *(F.round(c, 6).alias(c) for c in GRAPH))
+
+
+def _told(spark, d):
+    """Rows with the branch scores and the band of their record's last prediction; 0.5 and 'high' where there is none."""
+    p = latest(spark, d).select("record_id", *(F.coalesce(F.nullif(c, F.lit(float("nan"))), F.lit(0.5)).alias(n) for n, c in (("semantic", "prefilter_semantic_score"), ("graph", "prefilter_graph_score"), ("fusion", "calibrated_probability"))), F.coalesce("risk_band", F.lit("high")).alias("band"))
+    rows = _code(spark, d, "record_id").join(p, "record_id", "left")
+    return rows.fillna(0.5, ["semantic", "graph", "fusion"]).fillna("high", ["band"])
+
+
+def _top(spark, d):
+    return localizer.top_lines(_told(spark, d), "code", F.col("semantic"), F.col("graph"), F.col("fusion"), F.col("band"))
 
 
 def q_line_scores(spark, d):
-    """The four most suspicious lines of every function, at equal branch scores of 0.5."""
-    return localizer.top_lines(_code(spark, d), "code", F.lit(0.5), F.lit(0.5), F.lit(0.5), F.lit("high")).select("row_id", F.posexplode_outer("top_lines").alias("rank", "t")).where("rank is not null").select("row_id", (F.col("rank") + 1).alias("rank"), "t.line_number", "t.score", F.array_join("t.reasons", "|").alias("reasons"))
+    """The most suspicious lines of every function: two for band inspect, four for high, else one."""
+    return _top(spark, d).select("row_id", F.posexplode_outer("top_lines").alias("rank", "t")).where("rank is not null").select("row_id", (F.col("rank") + 1).alias("rank"), "t.line_number", "t.score", F.array_join("t.reasons", "|").alias("reasons"))
 
 
 def q_suspicious_slices(spark, d):
-    rows = localizer.top_lines(_code(spark, d), "code", F.lit(0.5), F.lit(0.5), F.lit(0.5), F.lit("high"))
-    return localizer.slices(rows).select("row_id", F.inline_outer("slices")).where("start_line is not null").select("row_id", "start_line", "end_line", "score", F.array_join("reasons", "|").alias("reasons"))
+    return localizer.slices(_top(spark, d)).select("row_id", F.inline_outer("slices")).where("start_line is not null").select("row_id", "start_line", "end_line", "score", F.array_join("reasons", "|").alias("reasons"))
+
 
+def q_token_highlights(spark, d):
+    """The eight most frequent identifier tokens of every function's top lines."""
+    return _top(spark, d).select("row_id", F.array_join(localizer.token_highlights(), ",").alias("highlights"))
 
-QUERIES = {f.__name__: f for f in (q_normalize_code, q_sanitize_literals, q_token_counts, q_token_frequency_top, q_skeleton, q_function_signature, q_calls_risky, q_structure_summary, q_truncate, q_lexical_features, q_label_profile, q_graph_nodes, q_graph_edges, q_edge_type_hist, q_ast_sequence, q_graph_features, q_line_scores, q_suspicious_slices)}
+
+def q_slices_text(spark, d):
+    """The slices of every function written out, as a digest."""
+    return localizer.slices(_top(spark, d)).select("row_id", F.sha2(localizer.slices_text(), 256).alias("text_hash"), F.char_length(localizer.slices_text()).alias("n_chars"))
+
+
+def q_feature_scaling(spark, d):
+    """Mean and population deviation of every lexical feature over the training rows (below 1e-6: 1), and the mean of all rows' scaled values."""
+    rows = features.lexical_features(_code(spark, d, "split"), "code").withColumn("train", F.coalesce(runs.split_name(F.col("split")) == "train", F.lit(False)))
+    long_ = rows.select("train", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in features.LEXICAL))).alias("f")).select("train", "f.*")
+    sums = long_.groupBy("feature").agg(F.avg(F.when(F.col("train"), F.col("x"))).alias("mean"), F.stddev_pop(F.when(F.col("train"), F.col("x"))).alias("std"), F.avg("x").alias("every"))
+    sums = sums.withColumn("std", F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std")))
+    return sums.select("feature", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), F.round((F.col("every") - F.col("mean")) / F.col("std"), 4).alias("scaled_mean"))
+
+
+def q_vocabulary(spark, d, most: int = 200, length: int = 64):
+    """Rows as numbers of their first 64 tokens, by a vocabulary of the 200 most frequent training tokens: 0 fills up, 1 is unknown."""
+    rows = _code(spark, d, "split").withColumn("t", X.tokens(F.col("code")))
+    train = rows.where(runs.split_name(F.col("split")) == "train").select(F.explode("t").alias("token")).where("token <> ''")
+    top = train.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(most)
+    known = F.broadcast(top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "token")))["token"].alias("known")))  # one row of 200 words
+    number = F.transform(F.slice("t", 1, length), lambda x: F.when(F.array_contains("known", x), F.array_position("known", x) + 1).otherwise(1))
+    filled = F.concat(number, F.array_repeat(F.lit(0).cast("long"), length - F.size(number)))
+    return rows.crossJoin(known).select("row_id", F.sha2(F.array_join(filled, ","), 256).alias("ids_hash"), F.size(F.filter(number, lambda x: x == 1)).cast("int").alias("n_unknown"))
+
+
+QUERIES = {f.__name__: f for f in (q_normalize_code, q_sanitize_literals, q_token_counts, q_token_frequency_top, q_skeleton, q_function_signature, q_calls_risky, q_structure_summary, q_truncate, q_lexical_features, q_label_profile, q_graph_nodes, q_graph_edges, q_edge_type_hist, q_ast_sequence, q_graph_features, q_line_scores, q_suspicious_slices, q_token_highlights, q_slices_text, q_feature_scaling, q_vocabulary)}
 
 # The same in SQL, from fragments.
 _ENDS = r"[\s\x0b\x1c-\x1f\x{85}\pZ]+"
@@ -190,6 +237,39 @@ re AS (SELECT us.row_id, max(df.id) AS source, us.id AS target FROM us JOIN df O
   UNION SELECT row_id, id, nxt, 'FLOWS_TO' FROM (SELECT row_id, id, lead(id) OVER (PARTITION BY row_id ORDER BY i) AS nxt FROM st) WHERE nxt IS NOT NULL)
 """
 )
+_GRAPH = _EDGES.rstrip() + """, nd AS (SELECT row_id, type FROM st UNION ALL SELECT row_id, 'CALL' FROM cl UNION ALL SELECT row_id, 'PARAM' FROM pa UNION ALL SELECT row_id, 'METHOD' FROM c),
+nc AS (SELECT row_id, count(*) AS n, count(*) FILTER (type = 'CALL') AS nc, count(*) FILTER (type = 'CONTROL_STRUCTURE') AS nk, count(*) FILTER (type = 'EXPRESSION') AS ne FROM nd GROUP BY row_id),
+ec AS (SELECT row_id, count(*) AS m, count(*) FILTER (type = 'FLOWS_TO') AS mf, count(*) FILTER (type = 'IS_AST_PARENT') AS ma, count(*) FILTER (type = 'REACHES') AS mr FROM e GROUP BY row_id),
+ek AS (SELECT row_id, source, count(*) AS deg FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY source, target, type) AS nth FROM e) WHERE nth <= 96 GROUP BY ALL), dg AS (SELECT row_id, sum(deg)::DOUBLE / count(*) AS av, max(deg)::DOUBLE AS mx FROM ek GROUP BY row_id)
+"""
+_R = lambda a, b: f"round(coalesce({a}::DOUBLE / nullif({b}, 0), 0), 6)"
+_RSTRIP = lambda x: f"regexp_replace({x}, '{_ENDS}$', '')"
+# lines as rows, scored by the same chain of steps as whole texts
+_LINES = (
+    "WITH ra AS (SELECT row_id, record_id, string_split_regex(" + _NORM("code") + r", '[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS raw_lines FROM function_records WHERE code IS NOT NULL), "
+    + "li AS (SELECT row_id, ln, " + _RSTRIP("x") + " AS code FROM (SELECT row_id, generate_subscripts(raw_lines, 1) AS ln, unnest(raw_lines) AS x FROM ra)), "
+    + _BASE.replace("WITH n AS", "n AS", 1).replace("row_id, label", "row_id, ln, code AS own").replace("row_id, ln, code AS own, txt, regexp_extract_all", "row_id, ln, own, txt, regexp_extract_all").replace("FROM function_records WHERE code IS NOT NULL", "FROM li WHERE code <> ''").rstrip()
+    + f""", rk AS (SELECT *, list_filter(calls, lambda z: lower(z) IN ({_W(X.RISKY)})) AS risky FROM c),
+ru AS (SELECT row_id, ln, own, [struct_pack(v := 3.0::DOUBLE + 0.4::DOUBLE * len(risky), r := CASE WHEN len(risky) > 0 THEN concat('risky_api=', array_to_string(risky[1:3], ',')) END),
+  struct_pack(v := 1.6::DOUBLE, r := CASE WHEN list_has_any(toks, [{_W(X.MEMORY)}]) THEN 'memory_op' END), struct_pack(v := 1.2::DOUBLE, r := CASE WHEN list_has_any(toks, [{_W(localizer.POINTERS)}]) OR contains(txt, '->') THEN 'pointer_or_array' END),
+  struct_pack(v := 1.0::DOUBLE, r := CASE WHEN regexp_matches(txt, '[-+*/%]') AND list_has_any(toks, [{_W(localizer.ARITHMETIC)}]) THEN 'index_arithmetic' END), struct_pack(v := 0.8::DOUBLE, r := CASE WHEN list_has_any(toks, [{_W(localizer.VALIDATION)}]) THEN 'control_or_validation' END),
+  struct_pack(v := 0.8::DOUBLE, r := CASE WHEN contains(txt, '=') AND list_has_any(toks, [{_W(localizer.BUFFERS)}]) THEN 'buffer_assignment' END), struct_pack(v := 0.5::DOUBLE, r := CASE WHEN list_contains(toks, 'return') AND list_has_any(toks, [{_W(localizer.ERRORS)}]) THEN 'error_path' END),
+  struct_pack(v := 0.4::DOUBLE, r := CASE WHEN {_OCC('(')} <> {_OCC(')')} OR {_OCC('{')} <> {_OCC('}')} THEN 'unbalanced_structure' END)] AS rules FROM rk),
+hi AS (SELECT row_id, ln, own, list_filter(rules, lambda z: z.r IS NOT NULL) AS hit FROM ru), """
+    + _LATEST.replace("WITH l AS", "lt AS", 1)
+    + """, sl AS (SELECT ra.row_id, raw_lines, 0.35::DOUBLE + 0.3::DOUBLE * coalesce(CASE WHEN CAST(prefilter_semantic_score AS VARCHAR) <> 'nan' THEN prefilter_semantic_score END, 0.5) + 0.35::DOUBLE * coalesce(CASE WHEN CAST(prefilter_graph_score AS VARCHAR) <> 'nan' THEN prefilter_graph_score END, 0.5) + 0.2::DOUBLE * coalesce(calibrated_probability, 0.5) AS scale,
+  CASE coalesce(risk_band, 'high') WHEN 'inspect' THEN 2 WHEN 'high' THEN 4 ELSE 1 END AS k FROM ra LEFT JOIN lt USING (record_id)),
+sc AS (SELECT row_id, ln, own, coalesce(list_sum(list_transform(hit, lambda z: z.v)), 0) * scale AS score, list_transform(hit, lambda z: z.r) AS reasons, scale, k, row_number() OVER (PARTITION BY row_id ORDER BY ln) AS pos FROM hi JOIN sl USING (row_id)),
+an AS (SELECT *, max(score) OVER (PARTITION BY row_id) > 0 AS any_ FROM sc), us AS (SELECT row_id, ln, own, k, round(CAST(CAST(CASE WHEN any_ THEN score ELSE 0.1::DOUBLE * scale END AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS score, CASE WHEN any_ THEN reasons ELSE ['fallback_context'] END AS reasons FROM an WHERE (any_ AND score > 0) OR (NOT any_ AND pos <= 3)),
+tl AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, ln) AS rank FROM us QUALIFY rank <= k)
+"""
+)
+_SLICES = _LINES + """, ce AS (SELECT row_id, list_sort(list(DISTINCT ln)) AS cs FROM tl GROUP BY row_id), sp AS (SELECT row_id, raw_lines, list_transform(cs, lambda x: greatest(1, x - 1)) AS a, list_transform(cs, lambda x: least(len(raw_lines), x + 1)) AS b FROM ce JOIN sl USING (row_id)),
+f2 AS (SELECT *, a[2] > b[1] AS k2 FROM sp), f3 AS (SELECT *, CASE WHEN k2 THEN b[2] ELSE b[1] END AS e2 FROM f2), f4 AS (SELECT *, a[3] > e2 AS k3, CASE WHEN a[3] > e2 THEN b[3] ELSE e2 END AS e3 FROM f3), f5 AS (SELECT *, a[4] > e3 AS k4 FROM f4),
+kp AS (SELECT row_id, raw_lines, unnest([struct_pack(a := a[1], b := b[1], k := true), struct_pack(a := a[2], b := b[2], k := k2), struct_pack(a := a[3], b := b[3], k := k3), struct_pack(a := a[4], b := b[4], k := k4)]) AS s FROM f5),
+sx AS (SELECT kp.row_id, s.a AS start_line, s.b AS end_line, any_value(raw_lines) AS raw_lines, max(score) AS score, list_sort(list_distinct(flatten(list(reasons)))) AS reasons FROM kp JOIN tl ON kp.row_id = tl.row_id AND tl.ln BETWEEN s.a AND s.b WHERE s.k AND s.a IS NOT NULL GROUP BY ALL)
+"""
+_TRAIN = r"lower(regexp_replace(split, '^[\s\x0b\x1c-\x1f\x{85}\pZ]+|[\s\x0b\x1c-\x1f\x{85}\pZ]+$', '', 'g')) = 'train'"
 ORACLES = {
     "q_normalize_code": _BASE + "SELECT row_id, sha256(txt) AS text_hash, length(txt)::INTEGER AS n_chars FROM n",
     "q_sanitize_literals": _BASE + f"SELECT row_id, sha256({_SANE('txt')}) AS text_hash FROM n",
@@ -208,5 +288,16 @@ ORACLES = {
     "q_graph_edges": _EDGES + "SELECT * FROM e",
     "q_ast_sequence": _STMT + f""", a AS (SELECT row_id, string_agg(concat(' ( ', type, repeat(' ( CALL ) CALL', len(lcalls)), ' ) ', type), '' ORDER BY i) AS body FROM st GROUP BY row_id)
 SELECT row_id, array_to_string(string_split(concat('( METHOD', repeat(' ( PARAM ) PARAM', ({_SP})::BIGINT), coalesce(body, ''), ' ) METHOD'), ' ')[1:512], ' ') AS ast_sequence FROM c LEFT JOIN a USING (row_id)""",
+    "q_graph_features": _GRAPH + f"""SELECT c.row_id, 0.0::DOUBLE AS backend_is_joern, round(ln(1 + n::DOUBLE), 6) AS log_graph_nodes, round(ln(1 + coalesce(m, 0)::DOUBLE), 6) AS log_graph_edges, round(coalesce(av, 0), 6) AS graph_avg_degree, {_R('nc', 'n')} AS graph_call_ratio, {_R('nk', 'n')} AS graph_control_ratio,
+  {_R('ne', 'n')} AS graph_expression_ratio, {_R('mf', 'm')} AS graph_cfg_ratio, {_R('ma', 'm')} AS graph_ast_ratio, {_R('mr', 'm')} AS graph_reaches_ratio, coalesce(mx, 0) AS graph_max_out_degree,
+  round(ln(1 + least(512, 4 + 4 * ({_SP}) + coalesce((SELECT sum(4 + 4 * len(lcalls)) FROM st WHERE st.row_id = c.row_id), 0))::DOUBLE), 6) AS log_ast_token_count FROM c JOIN nc USING (row_id) LEFT JOIN ec USING (row_id) LEFT JOIN dg USING (row_id)""",
+    "q_line_scores": _LINES + "SELECT row_id, rank::INTEGER AS rank, ln::INTEGER AS line_number, score, array_to_string(reasons, '|') AS reasons FROM tl",
+    "q_suspicious_slices": _SLICES + "SELECT row_id, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, score, array_to_string(reasons, '|') AS reasons FROM sx",
+    "q_token_highlights": _LINES + """, tk AS (SELECT tl.row_id, unnest(toks) AS x, rank * 100000 + generate_subscripts(toks, 1) AS place FROM tl JOIN c ON tl.row_id = c.row_id AND tl.ln = c.ln), co AS (SELECT row_id, x, count(*) AS n, min(place) AS place FROM tk WHERE regexp_matches(x, '^[A-Za-z_]\\w*$') AND x NOT IN ('if', 'for', 'while', 'return') GROUP BY ALL),
+tp AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, place) AS nth FROM co QUALIFY nth <= 8), jo AS (SELECT row_id, string_agg(x, ',' ORDER BY nth) AS highlights FROM tp GROUP BY row_id) SELECT row_id, coalesce(highlights, '') AS highlights FROM ra LEFT JOIN jo USING (row_id)""",
+    "q_feature_scaling": _BASE.replace("row_id, label", "row_id, split") + ", x AS (SELECT coalesce(" + _TRAIN + ", false) AS train, unnest([" + ", ".join(f"'{n}'" for n in _LEX) + "]) AS feature, unnest([" + ", ".join(_LEX.values()) + "]) AS v FROM c), m AS (SELECT feature, avg(v) FILTER (train) AS mean, CASE WHEN stddev_pop(v) FILTER (train) < 1e-6 THEN 1.0::DOUBLE ELSE stddev_pop(v) FILTER (train) END AS std, avg(v) AS every FROM x GROUP BY feature) SELECT feature, round(mean, 5) AS mean, round(std, 5) AS std, round((every - mean) / std, 4) AS scaled_mean FROM m",
+    "q_vocabulary": _BASE.replace("row_id, label", "row_id, split") + ", v AS (SELECT list(token ORDER BY n DESC, token) AS known FROM (SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM s WHERE " + _TRAIN + """) WHERE token <> '' GROUP BY token ORDER BY n DESC, token LIMIT 200)),
+i AS (SELECT row_id, coalesce(list_transform(toks[1:64], lambda t: CASE WHEN list_contains(known, t) THEN list_position(known, t) + 1 ELSE 1 END), []) AS ids FROM s, v)
+SELECT row_id, sha256(array_to_string(list_concat(ids, list_transform(range(0, 64 - len(ids)), lambda z: 0)), ',')) AS ids_hash, len(list_filter(ids, lambda z: z = 1))::INTEGER AS n_unknown FROM i""",
     "q_edge_type_hist": _EDGES + "SELECT type, count(*) AS n_edges, count(DISTINCT row_id) AS n_functions FROM e GROUP BY type",
 }
