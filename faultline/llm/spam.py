@@ -134,13 +134,14 @@ def _line(line: Column) -> Column:
 
 
 def page_features(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``n_words``, ``_hosts`` (hosts linked to) and the columns :data:`FEATURES`; texts without a word are left out."""
+    """``df`` with ``n_words``, ``_hosts`` (hosts linked to) and the columns :data:`FEATURES`; null texts are left out, of others without a word all shares are 0."""
     clean = F.translate(F.col("_t"), "\u00a0\u200b\ufeff\u00ad", " ")
     for name, sign in _ENTITIES:
         clean = F.replace(clean, F.lit(name), F.lit(sign))
-    rows = spread(df).withColumn("_t", repaired(F.col(text))).withColumn("_t", clean)
-    rows = rows.withColumn("_all", F.regexp_extract_all(F.lower("_t"), F.lit(_WORD), F.lit(0))).withColumn("n_words", F.size("_all")).where("n_words > 0")
-    n = F.col("n_words")
+    # a filter on the number of words would count them twice, as Spark moves it to the scan
+    rows = spread(df.where(F.col(text).isNotNull())).withColumn("_t", repaired(F.col(text))).withColumn("_t", clean)
+    rows = rows.withColumn("_all", F.regexp_extract_all(F.lower("_t"), F.lit(_WORD), F.lit(0))).withColumn("n_words", F.size("_all"))
+    n = F.greatest(F.col("n_words"), F.lit(1))
     links = F.regexp_extract_all("_t", F.lit(_LINK), F.lit(0))
     rows = rows.withColumn("_links", links).withColumn("_rest", F.regexp_replace("_t", _LINK, "\n"))
     rows = rows.withColumn("_tags", F.regexp_extract_all("_rest", F.lit(_TAG), F.lit(0))).withColumn("_rest", F.regexp_replace("_rest", _TAG, "\n"))
@@ -201,7 +202,7 @@ def content_features(text: Column, words: Column, n: Column) -> dict[str, Column
         "sentences": rate(r"[.!?](?:\s|$)|。"),
         "code_signs": rate(r"[{}()\[\]=<>&*;]"),
         "digit_share": rate(r"\p{N}++"),
-        "han_share": F.regexp_count(text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")) / F.char_length(text),
+        "han_share": F.regexp_count(text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")) / F.greatest(F.char_length(text), F.lit(1)),
         "log_words": F.log1p(n),
         "words_a_line": F.log1p(F.coalesce(F.try_divide(n, lines), n)),
     }
@@ -231,7 +232,7 @@ def spam_pages(df: DataFrame, doc_id: str, text: str, trees: int = 40, depth: in
     empty and blank texts give none.
     """
     rows = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    pages = materialize(page_features(rows, "_text").withColumns({"_page": F.xxhash64("_id", "_text"), "label": weak_label()}).drop("_text"))
+    pages = materialize(page_features(rows, "_text").withColumns({"_page": F.xxhash64("_id", "_text"), "label": weak_label()}).drop("_text")).where("n_words > 0")
     sizes = {r.label: r.n for r in pages.groupBy("label").agg(F.count("*").alias("n")).collect() if r.label is not None}
     if len(sizes) == 2:
         draw = F.pmod(F.xxhash64(F.lit(seed), "_page"), F.lit(1 << 30))
