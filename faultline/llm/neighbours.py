@@ -319,22 +319,23 @@ def _best(x, codes, q, books, k, rerank):
     length = np.linalg.norm(x.astype(np.float64), axis=1)
     unit = q.astype(np.float64) / np.linalg.norm(q.astype(np.float64), axis=1, keepdims=True)
     if rerank >= len(x):  # all are ranked
-        exact = np.round((x.astype(np.float64) @ unit.T) / length[:, None], 9)
-        at = np.argsort(-exact, axis=0, kind="stable")[:k]
-    else:
-        tables = np.matmul(books, np.ascontiguousarray(unit.astype(np.float32).reshape(len(q), pairs, 2).transpose(1, 2, 0)))  # pairs x 16 x queries
-        score = np.zeros((len(x), len(q)), np.float32)
-        for s in range(pairs):
-            score += tables[s].take(codes[:, s], axis=0)
-        top = np.sort(np.argpartition(-score, rerank - 1, axis=0)[:rerank], axis=0)
-        near = np.empty(top.shape)
-        for a in range(0, len(q), 128):  # so that few vectors are copied at once
-            near[:, a : a + 128] = np.einsum("rqd,qd->rq", x[top[:, a : a + 128]], unit[a : a + 128], optimize=True)
-        near = np.round(near / length[top], 9)
-        keep = np.argsort(-near, axis=0, kind="stable")[:k]
-        at, exact = np.take_along_axis(top, keep, 0), near
-        return at.ravel(), np.tile(np.arange(len(q)), len(keep)), np.take_along_axis(near, keep, 0).ravel()
-    return at.ravel(), np.tile(np.arange(len(q)), len(at)), np.take_along_axis(exact, at, 0).ravel()
+        exact = unit @ (x.astype(np.float64) / length[:, None]).T
+        few = min(k, len(x))
+        least = np.partition(exact, len(x) - few, axis=1)[:, len(x) - few]
+        who, at = np.nonzero(exact >= least[:, None] - 2e-9)  # with all that may be equal once rounded
+        return at, who, np.round(exact[who, at], 9)
+    tables = np.matmul(books, np.ascontiguousarray(unit.astype(np.float32).reshape(len(q), pairs, 2).transpose(1, 2, 0)))  # pairs x 16 x queries
+    score = np.zeros((len(x), len(q)), np.float32)
+    for s in range(pairs):
+        score += tables[s].take(codes[:, s], axis=0)
+    top = np.sort(np.argpartition(-score, rerank - 1, axis=0)[:rerank], axis=0)
+    near = np.empty(top.shape)
+    for a in range(0, len(q), 128):  # so that few vectors are copied at once
+        near[:, a : a + 128] = np.einsum("rqd,qd->rq", x[top[:, a : a + 128]], unit[a : a + 128], optimize=True)
+    near = np.round(near / length[top], 9)
+    keep = np.argsort(-near, axis=0, kind="stable")[:k]
+    at = np.take_along_axis(top, keep, 0)
+    return at.ravel(), np.tile(np.arange(len(q)), len(keep)), np.take_along_axis(near, keep, 0).ravel()
 
 
 def usable(df: DataFrame, record_id: str, vector: str, dims: int) -> DataFrame:
