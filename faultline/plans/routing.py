@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.maths import ratio
 from faultline.operators import calibration
 from faultline.plans.scores import _LATEST, _SCORED, latest, scored, steps
+from faultline.workspace import materialize
 
 #: The cuts that are tried.
 LOW = tuple(round(0.02 * (i + 1), 6) for i in range(15))
@@ -111,9 +112,10 @@ def q_hard_negatives(spark, d, quantile: float = 0.8, weight: float = 2.0):
 
 
 def _per_dataset(spark, d):
-    rows = scored(spark, d)
+    """Name and distinct scores of every dataset; scores are written once, as fits read them again and again."""
+    rows = materialize(scored(spark, d).groupBy("dataset", "p", "y").agg(F.count("*").alias("n")))
     for (name,) in rows.select("dataset").distinct().orderBy("dataset").collect():  # the few names of datasets
-        yield name, calibration.distinct_scores(rows.where(F.col("dataset").eqNullSafe(F.lit(name))), "p", "y")
+        yield name, rows.where(F.col("dataset").eqNullSafe(F.lit(name))).select("p", "y", "n")
 
 
 def q_platt(spark, d):

@@ -1,4 +1,4 @@
-"""Shared storage for intermediate tables, and size-checked broadcasts."""
+"""Shared storage for intermediate tables, and joins without a hot task."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it has been counted and has at most this many rows.
-BROADCAST_ROWS = 100_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
@@ -51,11 +48,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 #: A group that holds at least one of so many rows is heavy; there are at most as many.
 HEAVY = 1024
 
