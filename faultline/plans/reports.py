@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,6 +18,11 @@ ERRORS = ("Correct", "False Positive", "False Negative")
 BANDS = ("skip", "inspect", "high")
 
 
+def mean_ms(c: str) -> Column:
+    """Mean of milliseconds; the sum is rounded first, as its last digits depend on the order of rows."""
+    return F.round(F.round(F.sum(c), 3) / F.count(c), 4)
+
+
 def judged(spark, d):
     """Last attempts with a label and a prediction, with ``error_type``, ``is_correct``, ``project`` of the record (missing: unknown) and latencies, 0 where missing."""
     rows = latest(spark, d).where("ground_truth is not null and prediction is not null")
@@ -44,7 +50,7 @@ def q_project_report(spark, d):
             F.count("*").alias("samples"),
             F.round(F.avg(F.col("is_correct").cast("double")), 6).alias("accuracy"),
             F.round(F.avg(F.col("llm_called").cast("double")), 6).alias("call_rate"),
-            F.round(F.avg("runtime_ms"), 4).alias("mean_runtime_ms"),
+            mean_ms("runtime_ms").alias("mean_runtime_ms"),
             F.count_if(F.col("error_type") == "False Positive").alias("false_positives"),
             F.count_if(F.col("error_type") == "False Negative").alias("false_negatives"),
             F.count_if(~F.col("is_correct")).alias("errors"),
@@ -77,7 +83,7 @@ def q_latency_p95(spark, d):
     rows = judged(spark, d).where("llm_called")
     stages = F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(c).alias("ms")) for s, c in (("graph", "graph_latency_ms"), ("retrieval", "retrieval_latency_ms"), ("llm", "llm_latency_ms"), ("record", "runtime_ms")))))
     rows = rows.select("dataset", stages.alias("s")).select("dataset", "s.*")
-    return rows.groupBy("dataset", "stage").agg(F.count("*").alias("n"), F.round(F.sum("ms"), 3).alias("total_ms"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.round(F.percentile("ms", 0.95), 4).alias("p95_ms"))
+    return rows.groupBy("dataset", "stage").agg(F.count("*").alias("n"), F.round(F.sum("ms"), 3).alias("total_ms"), mean_ms("ms").alias("mean_ms"), F.round(F.percentile("ms", 0.95), 4).alias("p95_ms"))
 
 
 def q_error_histogram(spark, d):
@@ -99,7 +105,7 @@ def q_top_errors(spark, d, n: int = 20):
 
 def q_run_state(spark, d):
     """Resolved records, calls, cache hits and mean latencies of every dataset's run, and whether it is complete: as many records as its validation and test splits hold."""
-    mean = lambda c: F.round(ratio(F.sum(c), F.count("*")), 4).alias(c.replace("_ms", "_mean_ms"))
+    mean = lambda c: mean_ms(c).alias(c.replace("_ms", "_mean_ms"))
     done = judged(spark, d).groupBy("dataset").agg(F.count("*").alias("resolved"), F.count_if("llm_called").alias("llm_calls"), F.count_if("llm_cache_hit").alias("llm_cache_hits"), mean("graph_latency_ms"), mean("retrieval_latency_ms"), mean("llm_latency_ms"), mean("runtime_ms"))
     goal = runs.targets(table(spark, d, "function_records")).groupBy("dataset").agg(F.count("*").alias("target"))
     rows = goal.join(done, "dataset", "full").fillna(0, ["resolved", "target", "llm_calls", "llm_cache_hits"])
@@ -209,10 +215,10 @@ _SPLIT = r"lower(regexp_replace(split, '^[\s\x0b\x1c-\x1f\x{85}\pZ]+|[\s\x0b\x1c
 _NAME = f"CASE WHEN {_SPLIT} = 'train' THEN 'train' WHEN {_SPLIT} IN ('val', 'valid', 'validation') THEN 'val' WHEN {_SPLIT} = 'test' THEN 'test' END"
 _TARGETS = f"tg AS (SELECT record_id, arg_min(dataset, row_id) AS dataset, min(row_id) AS row_id, arg_min(coalesce({_NAME}, ''), row_id) AS split_name FROM function_records WHERE record_id IS NOT NULL GROUP BY record_id HAVING split_name IN ('val', 'test'))"
 _RESOLVED = "rs AS (SELECT DISTINCT record_id FROM predictions WHERE schema_version = 1 AND resolution_status = 'resolved' AND record_id IS NOT NULL)"
-_REPORT = """pj AS (SELECT project, count(*) AS samples, round(avg(is_correct::INT), 6) AS accuracy, round(avg(llm_called::INT), 6) AS call_rate, round(avg(runtime_ms), 4) AS mean_runtime_ms,
+_REPORT = """pj AS (SELECT project, count(*) AS samples, round(avg(is_correct::INT), 6) AS accuracy, round(avg(llm_called::INT), 6) AS call_rate, round(CAST(CAST(round(sum(runtime_ms), 3) / count(runtime_ms) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS mean_runtime_ms,
   count(*) FILTER (error_type = 'False Positive') AS false_positives, count(*) FILTER (error_type = 'False Negative') AS false_negatives, count(*) FILTER (NOT is_correct) AS errors FROM j GROUP BY project)"""
-_STATE = f"""{_TARGETS}, dn AS (SELECT dataset, count(*) AS resolved, count(*) FILTER (llm_called) AS llm_calls, count(*) FILTER (llm_cache_hit) AS llm_cache_hits, round(avg(graph_latency_ms), 4) AS graph_latency_mean_ms, round(avg(retrieval_latency_ms), 4) AS retrieval_latency_mean_ms,
-  round(avg(llm_latency_ms), 4) AS llm_latency_mean_ms, round(avg(runtime_ms), 4) AS runtime_mean_ms FROM j GROUP BY dataset), gl AS (SELECT dataset, count(*) AS target FROM tg GROUP BY dataset),
+_STATE = f"""{_TARGETS}, dn AS (SELECT dataset, count(*) AS resolved, count(*) FILTER (llm_called) AS llm_calls, count(*) FILTER (llm_cache_hit) AS llm_cache_hits, round(CAST(CAST(round(sum(graph_latency_ms), 3) / count(graph_latency_ms) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS graph_latency_mean_ms, round(CAST(CAST(round(sum(retrieval_latency_ms), 3) / count(retrieval_latency_ms) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS retrieval_latency_mean_ms,
+  round(CAST(CAST(round(sum(llm_latency_ms), 3) / count(llm_latency_ms) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS llm_latency_mean_ms, round(CAST(CAST(round(sum(runtime_ms), 3) / count(runtime_ms) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS runtime_mean_ms FROM j GROUP BY dataset), gl AS (SELECT dataset, count(*) AS target FROM tg GROUP BY dataset),
 rn AS (SELECT dataset, coalesce(target, 0) AS target, coalesce(resolved, 0) AS resolved, coalesce(llm_calls, 0) AS llm_calls, coalesce(llm_cache_hits, 0) AS llm_cache_hits, graph_latency_mean_ms, retrieval_latency_mean_ms, llm_latency_mean_ms, runtime_mean_ms,
   round(coalesce(llm_calls, 0)::DOUBLE / greatest(coalesce(resolved, 0), 1), 6) AS llm_call_ratio, coalesce(resolved, 0) = coalesce(target, 0) AS complete FROM gl FULL JOIN dn USING (dataset))"""
 ORACLES = {
@@ -223,7 +229,7 @@ c AS (SELECT b.risk_band, count(*) FILTER (error_type = 'Correct') AS correct, c
 SELECT *, correct + false_positive + false_negative AS total, round(coalesce(correct::DOUBLE / nullif(correct + false_positive + false_negative, 0), 0), 6) AS accuracy FROM c""",
     "q_source_mix_pivot": _JUDGED + " SELECT decision_source, count(*) FILTER (error_type = 'Correct') AS correct, count(*) FILTER (error_type = 'False Positive') AS false_positive, count(*) FILTER (error_type = 'False Negative') AS false_negative FROM j GROUP BY decision_source",
     "q_latency_p95": _JUDGED + """, st AS (SELECT dataset, unnest(['graph', 'retrieval', 'llm', 'record']) AS stage, unnest([graph_latency_ms, retrieval_latency_ms, llm_latency_ms, runtime_ms]) AS ms FROM j WHERE llm_called)
-SELECT dataset, stage, count(*) AS n, round(sum(ms), 3) AS total_ms, round(avg(ms), 4) AS mean_ms, round(quantile_cont(ms, 0.95), 4) AS p95_ms FROM st GROUP BY ALL""",
+SELECT dataset, stage, count(*) AS n, round(sum(ms), 3) AS total_ms, round(CAST(CAST(round(sum(ms), 3) / count(ms) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS mean_ms, round(quantile_cont(ms, 0.95), 4) AS p95_ms FROM st GROUP BY ALL""",
     "q_error_histogram": _JUDGED + " SELECT error_type, least(19, floor(calibrated_probability * 20))::INTEGER AS bin, count(*) AS n_rows FROM j WHERE calibrated_probability IS NOT NULL GROUP BY ALL",
     "q_top_errors": _JUDGED + """, c AS (SELECT *, coalesce(llm_confidence, calibrated_probability) AS confidence FROM j WHERE NOT is_correct),
 n AS (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY CASE WHEN error_type = 'False Positive' THEN -confidence ELSE confidence END NULLS LAST, runtime_ms DESC, record_id)::INTEGER AS rank FROM c)
